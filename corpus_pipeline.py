@@ -1,26 +1,58 @@
-"""A cleaning pipeline over ``documents`` made of operators of maskwright.llm."""
+"""A cleaning pipeline over ``documents`` made of operators of maskwright.llm.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before
+kept. Its result is written as Parquet and reread as the next one's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from maskwright.llm import bpe, decontaminate
+from maskwright.llm import bpe, decontaminate, language_id, line_dedup, ngram_join
 from maskwright.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Below this share of its language a text is taken for a mixture or for no language at all.
+LEAST_SCORE = 0.4
+
+
+def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those of no clear language."""
+    model = language_id.fit_documents(docs)
+    found = language_id.identify_language(docs, model)
+    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that three documents or more hold from all but the largest doc_id; documents left without a word go."""
+    out = line_dedup.dedup_lines(docs)
+    gone = (F.col("n_dropped") > 0) & (F.trim(F.col("text")) == "")
+    return out.filter(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the least doc_id of each group of near-duplicates."""
+    return ngram_join.drop_near_duplicates(docs).select(*COLUMNS)
 
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which windows of two benchmark items or more occur."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the token ids; the last stage, so its columns differ."""
-    return bpe.encode_documents(docs.select(*COLUMNS), decode=False)
+    """Adds the token ids; it is the last stage, so its columns differ."""
+    return bpe.encode_documents(docs.select(*COLUMNS), decode=False).withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
-STAGES = [("benchmark decontamination", remove_benchmark_leaks), ("BPE encoding", encode)]
+STAGES = [
+    ("language ID", reject_unknown_language),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", remove_benchmark_leaks),
+    ("BPE encoding and decoding", encode),
+]
 
 #: Several stages have no SQL form; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
