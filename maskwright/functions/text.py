@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 NEWLINE = "\n"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: what a lambda names from outside is computed again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalize_markdown(text: Column) -> Column:
     """Line feeds only, blank lines empty, at most one blank line in a row, one line feed at the end; empty stays empty."""
     t = F.regexp_replace(text, r"\r\n?", NEWLINE)
@@ -119,11 +124,8 @@ def rows_to_markdown(rows: Column) -> Column:
 
 
 def distinct_lines(text: Column) -> Column:
-    """The lines of a text, each kept where its white-space-normalised form comes first; blank ones go."""
-    lines = F.transform(F.split(text, NEWLINE), lambda x: F.struct(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")).alias("k"), x.alias("x")))
-    full = F.filter(lines, lambda x: x["k"] != "")
-    first = F.filter(full, lambda x, i: F.array_position(F.transform(full, lambda y: y["k"]), x["k"]) == i + 1)
-    return F.transform(first, lambda x: x["k"])
+    """The white-space-normalised lines of a text, each once where it comes first; blank ones go."""
+    return F.array_distinct(F.filter(F.transform(F.split(text, NEWLINE), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != ""))
 
 
 def metadata_section(properties: Column) -> Column:

@@ -6,36 +6,37 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _each(s: pd.Series, fn) -> pd.Series:
     return s.map(fn, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_layout(text: pd.Series) -> pd.Series:
     """NFC, <br> as space, escaped pipes as pipes, white space runs as one space."""
     return _each(text, lambda t: " ".join(unicodedata.normalize("NFC", t).replace("<br>", " ").replace(r"\|", "|").split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_ocr(text: pd.Series) -> pd.Series:
     return _each(text, lambda t: " ".join(unicodedata.normalize("NFC", t).split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_answer(text: pd.Series) -> pd.Series:
     """NFC, case folded, white space runs as one space, dots, quotes and spaces off the ends."""
     return _each(text, lambda t: " ".join(unicodedata.normalize("NFC", t).casefold().split()).strip('. "'))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_compat(text: pd.Series) -> pd.Series:
     """NFKC, case folded, no white space."""
     return _each(text, lambda t: "".join(unicodedata.normalize("NFKC", t).casefold().split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_whitespace(text: pd.Series) -> pd.Series:
     return _each(text, lambda t: " ".join(t.casefold().split()))
 
@@ -71,7 +72,7 @@ def offsets_of(text: str) -> tuple[str, list[tuple[int, int]]]:
     return "".join(c for c, _, _ in out), [(s, e) for _, s, e in out]
 
 
-@F.udf("array<struct<start:int,end:int>>", useArrow=True)
+@F.udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])), useArrow=True)
 def source_ranges(text: str, value: str):
     """Where a layout-normalised value stands in the source text, overlapping places included."""
     if not text or not value:
@@ -85,9 +86,6 @@ def source_ranges(text: str, value: str):
     return found
 
 
-HEADING_MARKS = "#"
-
-
 def without_metadata(text: str) -> str:
     """The text without its document metadata sections; fenced code holds no headings."""
     import re
@@ -114,6 +112,6 @@ def without_metadata(text: str) -> str:
     return "".join(kept)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def remove_document_metadata(text: pd.Series) -> pd.Series:
     return _each(text, without_metadata)

@@ -36,15 +36,16 @@ PROJECT = (PLATE, INVOICE, PERSONAL_ID)
 
 def match_array(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of the non-empty matches of a pattern."""
-    gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
 
-    def one(hit, i):
-        start = total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(hits, F.lit(1), i))
-        return F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("value"))
+    def each(both):
+        def one(hit, i):
+            start = total(F.slice(both["gaps"], F.lit(1), i + 1)) + total(F.slice(both["hits"], F.lit(1), i))
+            return T.let(start, lambda at: F.struct(at.alias("start"), (at + F.length(hit)).alias("end"), hit.alias("value")))
 
-    return F.transform(hits, one)
+        return F.transform(both["hits"], one)
+
+    return T.let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")), each)
 
 
 def _typed(matches: Column, entity_type: str, score: float) -> Column:
@@ -129,16 +130,19 @@ def expand_returned(docs: DataFrame, found: DataFrame, strict: bool = True, size
 
 @dataclass(frozen=True)
 class Method:
+    """A named detector; those made of patterns alone share one scan when several run."""
+
     name: str
     run: Callable[[DataFrame], DataFrame]
+    patterns: tuple = ()
 
 
 #: Built-in methods. Others are added with ``register``.
 METHODS: dict[str, Method] = {}
 
 
-def register(name: str, run: Callable[[DataFrame], DataFrame]) -> None:
-    METHODS[name] = Method(name, run)
+def register(name: str, run: Callable[[DataFrame], DataFrame] | None = None, patterns: tuple = ()) -> None:
+    METHODS[name] = Method(name, run or (lambda docs: pattern_spans(docs, patterns)), patterns)
 
 
 def get_method(name: str) -> Method:
@@ -147,11 +151,20 @@ def get_method(name: str) -> Method:
     return METHODS[name]
 
 
-register("basic", lambda docs: pattern_spans(docs, (EMAIL, IPV4, DATE, PHONE)))
-register("rules", lambda docs: pattern_spans(docs, (EMAIL, IPV4, DATE, PHONE, *PROJECT)))
-register("rules-business", lambda docs: pattern_spans(docs, (EMAIL, IPV4, DATE, PHONE, *PROJECT, BUSINESS_ID, VAT)))
+BASIC = (EMAIL, IPV4, DATE, PHONE)
+register("basic", patterns=BASIC)
+register("rules", patterns=BASIC + PROJECT)
+register("rules-business", patterns=(*BASIC, *PROJECT, BUSINESS_ID, VAT))
 
 
 def run_methods(docs: DataFrame, names: list[str]) -> DataFrame:
     """spans(method, doc_id, …) of several methods."""
-    return union(*(get_method(n).run(docs).select(F.lit(n).alias("method"), "doc_id", *S.SPAN) for n in names))
+    chosen = [get_method(n) for n in names]
+    parts = [m.run(docs).select(F.lit(m.name).alias("method"), "doc_id", *S.SPAN) for m in chosen if not m.patterns]
+    shared = [m for m in chosen if m.patterns]
+    if shared:
+        every = tuple(dict.fromkeys(p for m in shared for p in m.patterns))
+        by_type = {t: [m.name for m in shared if any(p[1] == t for p in m.patterns)] for _, t, _ in every}
+        owners = F.create_map(*[x for t, own in by_type.items() for x in (F.lit(t), F.array(*map(F.lit, own)))])
+        parts.append(pattern_spans(docs, every).select(F.explode(owners[F.col("entity_type")]).alias("method"), "doc_id", *S.SPAN))
+    return union(*parts)

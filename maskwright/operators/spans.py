@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 SPAN = ["start", "end", "entity_type", "score"]
 
 
@@ -136,11 +138,14 @@ def occurrences(text: Column, value: Column) -> Column:
     add up to the starts.
     """
     quoted = F.concat(F.lit("(?=\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    parts = F.split(text, quoted, -1)
-    later = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)))
-    first = F.when(F.startswith(text, value), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    found = F.concat(first, F.when(F.size(parts) > 1, later).otherwise(F.array().cast("array<int>")))
-    return F.when(F.coalesce(F.length(value), F.lit(0)) == 0, F.array().cast("array<int>")).otherwise(found)
+    none = F.array().cast("array<int>")
+    first = F.when(F.startswith(text, value), F.array(F.lit(0))).otherwise(none)
+
+    def starts(parts):
+        later = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)))
+        return F.when(F.size(parts) > 1, F.concat(first, later)).otherwise(first)
+
+    return F.when(F.coalesce(F.length(value), F.lit(0)) == 0, none).otherwise(T.let(F.split(text, quoted, -1), starts))
 
 
 def label_places(labels: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return M.spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 def long(df: DataFrame) -> DataFrame:

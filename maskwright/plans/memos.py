@@ -47,10 +47,16 @@ TEXT = " || chr(10) || ".join(
 LABELS = [("INVOICE", "invoice", "body"), ("PLATE", "plate", "body"), ("PERSONAL_ID", "person", "body"), ("EMAIL", "email", "body"), ("EMAIL", "author", "metadata"), ("COMPANY", "company", "body"), ("PHONE", "phone", "comment"), ("DATE", "day", "body")]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input of few partitions over all cores, before work that is heavy for its size; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def memos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, language, format, split, the planted values, text), one memo an order."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(K, C, "o_orderdate")
-    return orders.select(F.col(K).alias("doc_id"), *(F.expr(e).alias(n) for n, e in FIELDS.items())).withColumn("text", F.expr(TEXT))
+    return spread(orders).select(F.col(K).alias("doc_id"), *(F.expr(e).alias(n) for n, e in FIELDS.items())).withColumn("text", F.expr(TEXT))
 
 
 def labels(memo: DataFrame) -> DataFrame:
