@@ -32,13 +32,15 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, without, written
+from .common import chunks, table, without, written
 
 FLUSH = 300_000
+CHUNK_BYTES = 2 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -235,18 +237,20 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     """``docs`` with n_tokens, n_known, base_score and score (log10 probabilities of the whole text)."""
     docs = without(docs, *MADE, "_row", "_rare")
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.known, model.frequent, model.suffixes, model.class_of, model.transition, model.emission))
+    # words hold no white space: one string and one array are far smaller in the workers than a list of pairs
+    packed = (b" ".join(w for w, _ in model.known), np.log10(np.array([n for _, n in model.known], np.float64) + 1))
+    shared = spark.sparkContext.broadcast((*packed, model.frequent, model.suffixes, model.class_of, model.transition, model.emission))
     end_known, base_log = int(model.n_docs > 0), model.base_log
     end_base = math.log10(model.n_docs + 1)
     at = docs.columns.index(text_col)
     rare_type = pa.list_(pa.struct([pa.field("word", pa.binary()), pa.field("times", pa.int32())]))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, frequent, suffixes, class_of, transition, emission = shared.value
-        logs = {w: math.log10(n + 1) for w, n in known}
+        known, values, frequent, suffixes, class_of, transition, emission = shared.value
+        logs = dict(zip(known.split(), values.tolist(), strict=True))
         units, get = Units(frequent, suffixes), logs.get
         end = class_of[-1]
-        for batch in batches:
+        for batch in (b.slice(a, z - a) for b in batches for a, z in chunks(pc.binary_length(b.column(at)).fill_null(0).to_pylist(), CHUNK_BYTES)):
             n_tokens, n_known, path, sums, rare = [], [], [], [], []
             for text in batch.column(at).cast(pa.binary()).to_pylist():
                 words = words_of(text)
