@@ -13,8 +13,8 @@ from maskwright.llm import bpe, decontaminate, language_id, line_dedup, ngram_jo
 from maskwright.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Below this share of its language a text is taken for a mixture or for no language at all.
-LEAST_SCORE = 0.4
+#: A text of several languages is still clean; one below this is explained by no language.
+LEAST_SCORE = 0.2
 
 
 def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
