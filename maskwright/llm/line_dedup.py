@@ -21,6 +21,7 @@ one document; a null text stays null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -74,8 +75,9 @@ class LineRuns:
     def add(self, batch: DataFrame) -> None:
         """``batch``: (doc_id, line) of documents whose ids are below those of all batches before."""
         new = batch.distinct()
-        for run in (r for level in self.levels for r in level):
-            new = new.join(run.filter(F.col("n") >= self.min_docs).select("line").hint("merge"), "line", "left_anti")
+        runs = [r.filter(F.col("n") >= self.min_docs).select("line") for level in self.levels for r in level]
+        if runs:  # one join for all runs: a chain of them could not be split at a hot line
+            new = new.join(reduce(DataFrame.union, runs).hint("merge"), "line", "left_anti")
         made = self._run(new.select("line", F.lit(1).cast("long").alias("n"), F.col("doc_id").alias("top")))
         level = 0
         while True:
