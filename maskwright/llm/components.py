@@ -19,7 +19,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    met = both.join(least, "u")
+    # the key is computed anew so that the join deals both sides itself: only then can a hub be split at run time
+    met = both.join(least.select((F.col("u") + F.lit(0)).alias("_k"), "m"), F.col("u") == F.col("_k"))
     if large:
         moved = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
