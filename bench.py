@@ -8,9 +8,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-NAMES = [
-    "entity_counts", "pii_spans_email", "resolved_spans", "redacted_text", "pseudonymised_text", "typed_recall", "any_type_recall", "typed_precision", "over_masking", "recall_cube", "section_locations", "located_recall", "normalized_markdown", "char_windows",
-]
+NAMES = ["entity_counts", "pii_spans_email", "resolved_spans", "redacted_text", "typed_recall", "typed_precision", "section_locations", "normalized_markdown", "char_windows"]
 
 
 def main() -> None:
