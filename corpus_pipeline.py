@@ -37,8 +37,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which windows of two benchmark items or more occur."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    """Drops documents with windows of two benchmark items or more and cuts one item's passage out of the others; documents left without a word go."""
+    out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), remove="leaks")
+    cut = F.col("n_cut") > 0
+    return out.filter(~cut | F.col("text").rlike(decontaminate.SQL_WORD)).withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,8 @@ from .common import chunks, shared_folder, table, without
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: The same words in a string, for code point offsets.
 WORD_TEXT = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+#: The same for Spark's regular expressions.
+SQL_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 CHUNK_BYTES = 4 << 20
 
@@ -215,24 +217,37 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, text_c
     return docs
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", min_items: int = 2, **options) -> DataFrame:
-    """``docs`` without contaminated documents, or without the hit spans of contaminated documents.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", min_items: int = 2, n: int = 8, **options) -> DataFrame:
+    """``docs`` without contaminated documents, or without their hit spans, or without both.
 
-    A document is contaminated if windows of ``min_items`` items or more occur in it.
+    A document is contaminated if windows of ``min_items`` items or more occur in it. ``remove``:
+
+    * ``documents``: contaminated documents go.
+    * ``spans``: the hit spans of contaminated documents are cut out.
+    * ``leaks``: contaminated documents go; of the others, runs of at least ``n`` hit words are
+      cut out (an item of fewer words may well be a common phrase). ``n_cut`` counts them.
     """
+    if remove not in ("documents", "spans", "leaks"):
+        raise ValueError("remove: documents, spans or leaks")
+    if remove == "leaks":
+        docs = without(docs, "n_cut")
     columns = docs.columns
-    found = find_contamination(docs, benchmark, **options)
+    found = find_contamination(docs, benchmark, n, **options)
     text = options.get("text_col", "text")
+    many = F.size("items") >= min_items
     if remove == "documents":
-        return found.filter(F.size("items") < min_items).select(*columns)
-    if remove != "spans":
-        raise ValueError("remove: documents or spans")
+        return found.filter(~many).select(*columns)
     cut = F.expr(
         f"aggregate(hit_spans, named_struct('p', 0, 'o', ''), "
         f"(a, x) -> named_struct('p', x.end, 'o', concat(a.o, substring({text}, a.p + 1, x.start - a.p))), "
         f"a -> concat(a.o, substring({text}, a.p + 1)))"
     )
-    return found.withColumn(text, F.when(F.size("items") >= min_items, cut).otherwise(F.col(text))).select(*columns)
+    if remove == "spans":
+        return found.withColumn(text, F.when(many, cut).otherwise(F.col(text))).select(*columns)
+    words = f"size(regexp_extract_all(substring({text}, x.start + 1, x.end - x.start), r'{SQL_WORD}', 0))"
+    long = found.filter(~many).withColumn("hit_spans", F.expr(f"filter(hit_spans, x -> {words} >= {int(n)})"))
+    n_cut = F.size("hit_spans").cast("long")
+    return long.withColumn("n_cut", n_cut).withColumn(text, F.when(F.col("n_cut") > 0, cut).otherwise(F.col(text))).select(*columns, "n_cut")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,37 @@ def brute(docs, items, n=8):
     return out
 
 
+def brute_leaks(docs, items, n=8):
+    """What ``remove="leaks"`` keeps: (doc_id, text, spans cut out)."""
+    kept = []
+    for d, t in docs:
+        if len(brute([(d, t)], items, n)[0][3]) >= 2:
+            continue
+        places = list(WORD.finditer((t or "").translate(LOWER)))
+        hit = [False] * len(places)
+        for i, item in items:
+            w = WORD.findall((item or "").translate(LOWER)) if i is not None else []
+            size = min(n, len(w))
+            own = [m.group() for m in places]
+            wanted = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if w else ()
+            for k in range(len(own) - size + 1) if w else ():
+                if tuple(own[k : k + size]) in wanted:
+                    hit[k : k + size] = [True] * size
+        cuts, k = [], 0
+        while k < len(hit):
+            z = k
+            while z < len(hit) and hit[z]:
+                z += 1
+            if z - k >= n:
+                cuts.append((places[k].start(), places[z - 1].end()))
+            k = max(z, k + 1)
+        out = t
+        for a, z in reversed(cuts):
+            out = out[:a] + out[z:]
+        kept.append((d, out, len(cuts)))
+    return kept
+
+
 def key(rows):
     return sorted(rows, key=str)
 
@@ -57,3 +88,22 @@ def test_short_items_blocks_and_spans(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and {r.doc_id for r in kept.collect()} == {d for d, _, _, i in want if len(i) < 2}
     cut = {r.doc_id: r.text for r in decontaminate.decontaminate(odd_docs, bench, remove="spans").collect()}
     assert len(cut[9]) < 60_000 and cut[2] == ""
+
+
+def test_leaks_are_cut_and_clean_documents_stay(spark, odd_docs, no_docs):
+    item, other = "one two three four five six seven eight nine ten", "ÅÄÖ b c d e f g h i j k"
+    rows = [
+        (1, f"Before 😀, {item.upper()}! After it."), (2, item), (3, f"{item} {other}"), (4, "clean text of no item"), (5, "say no id twice: no id"), (6, f"x {item} y {item}"),
+        (7, "one two three four five six seven"), (8, None), (9, ""), (10, f"w {item[:39]} z"), (4, "clean text of no item"),
+    ]
+    items = [(1, item), (2, other), (3, "no id"), (4, None), (None, "clean text of no item at all, never mind"), (1, item)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(rows, items)
+    for most in (1000, 2):
+        got = decontaminate.decontaminate(docs, bench, remove="leaks", max_windows=most)
+        assert key(tuple(r) for r in got.collect()) == key(want)
+    cut = {d: t for d, t, _ in want}
+    assert 3 not in cut and cut[1] == "Before 😀, ! After it." and cut[2] == "" and cut[5] == rows[4][1] and cut[6] == "x  y "
+    odd = decontaminate.decontaminate(odd_docs.withColumnRenamed("n_words", "N_CUT"), bench, remove="leaks")
+    assert odd.columns[-1] == "n_cut" and odd.count() == odd_docs.count()
+    assert decontaminate.decontaminate(no_docs, bench, remove="leaks").count() == 0

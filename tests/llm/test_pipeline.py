@@ -17,8 +17,11 @@ def brute(docs, items, model):
     kept = [(d, t) for d, _, dropped, t in test_line_dedup.brute(kept) if not (dropped and not t.strip(" "))]
     least = {d: c for d, _, c in test_ngram_join.brute(kept)}
     kept = [(d, t) for d, t in kept if least[d] == d]
-    leaks = {d for d, _, _, found in test_decontaminate.brute(kept, items) if len(found) >= 2}
-    return {d: t for d, t in kept if d not in leaks}
+    hit = [x for x, (_, _, n_hit, _) in zip(kept, test_decontaminate.brute(kept, items), strict=True) if n_hit]
+    gone = {d for d, _ in hit}
+    left = test_decontaminate.brute_leaks(hit, items)
+    assert not any(x[2] for x in test_decontaminate.brute([x[:2] for x in left], items))
+    return {d: t for d, t in kept if d not in gone} | {d: t for d, t, n in left if not n or test_decontaminate.WORD.search(t.lower())}
 
 
 def test_run_is_brute_force(spark, sf):
