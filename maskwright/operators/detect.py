@@ -76,7 +76,7 @@ def pattern_spans(docs: DataFrame, patterns=PROJECT, text_col: str = "text", kee
 
 def valid_cards(spans: DataFrame) -> DataFrame:
     """Card spans (with their value) whose digits pass the Luhn check."""
-    return spans.filter(F.col("entity_type").isin("CREDIT_CARD") & F.luhn_check(F.regexp_replace("value", r"[^0-9]", "")))
+    return spans.filter(F.col("entity_type").isin("CREDIT_CARD") & F.call_function("luhn_check", F.regexp_replace("value", r"[^0-9]", "")))
 
 
 def glossary_spans(docs: DataFrame, terms: list[str], text_col: str = "text") -> DataFrame:

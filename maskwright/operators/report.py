@@ -112,6 +112,12 @@ def detection_counts(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id", "entity_type").agg(F.count("*").alias("detections"))
 
 
+def type_colours(spans: DataFrame, colours: int = 12) -> DataFrame:
+    """The place of each type in a cyclic palette, in the order of their names."""
+    ranked = spans.agg(F.array_sort(F.collect_set("entity_type")).alias("t")).select(F.posexplode("t").alias("colour", "entity_type"))
+    return ranked.select("entity_type", (F.col("colour") % colours).alias("colour"))
+
+
 def confusion(cases: DataFrame, *keys: str) -> DataFrame:
     """cases(expect, retained): counters of expected against actual decisions."""
     keep, drop = F.col("expect") == "preserve_detection", F.col("expect") == "discard_detection"

@@ -15,6 +15,7 @@ from ..operators import report as G
 from ..operators import score as Q
 from ..operators import sections as X
 from ..operators import spans as S
+from ..operators import study as U
 from . import memos as M
 
 METHODS = ["basic", "rules", "rules-business"]
@@ -336,3 +337,112 @@ def context_confusion(spark, sf_dir):
     k = F.col("o_orderkey")
     cases = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("category"), F.when(k % 2 == 0, "preserve_detection").otherwise("discard_detection").alias("expect"), (k % 3 > 0).alias("retained"))
     return G.confusion(cases, "category")
+
+
+@query
+def merged_display(spark, sf_dir):
+    return long(S.merge_display(mixed(M.memos(spark, sf_dir))))
+
+
+@query
+def pii_valid_cards(spark, sf_dir):
+    return long(D.valid_cards(D.pattern_spans(documents(spark, sf_dir), [D.CARD], keep_value=True)))
+
+
+@query
+def detection_counts(spark, sf_dir):
+    return G.detection_counts(D.get_method("rules").run(M.memos(spark, sf_dir)))
+
+
+def by_type(spark, sf_dir, *keys: str, method: str | None = None) -> DataFrame:
+    states = typed(spark, sf_dir).withColumnRenamed("type", "entity_type")
+    return G.tally(states.filter(F.col("method") == method) if method else states, "entity_type", *keys)
+
+
+@query
+def type_breakdown(spark, sf_dir):
+    return G.type_breakdown(by_type(spark, sf_dir, "method"))
+
+
+@query
+def worst_types(spark, sf_dir):
+    return G.worst_first(by_type(spark, sf_dir, method="rules"))
+
+
+@query
+def headline(spark, sf_dir):
+    return G.headline(typed(spark, sf_dir).filter("method = 'rules'"))
+
+
+@query
+def recall_table(spark, sf_dir):
+    return G.recall_table(G.tally(typed(spark, sf_dir), "language", "method").withColumnRenamed("language", "dataset"))
+
+
+@query
+def recall_gate(spark, sf_dir):
+    return G.gate(counts(typed(spark, sf_dir), "method", "language"), 0.5, method=["rules"], language=["en", "fi"])
+
+
+@query
+def regression_gate(spark, sf_dir):
+    found = by_type(spark, sf_dir, "method")
+    return G.regression_gate(found.filter("method = 'rules'"), found.filter("method = 'basic'"), ["entity_type"], ["covered"])
+
+
+@query
+def policy_changes(spark, sf_dir):
+    memo = M.memos(spark, sf_dir)
+    changed = G.policy_changes(mixed(memo), D.get_method("rules").run(memo), ["doc_id", "start", "end", "entity_type"])
+    return changed.groupBy("change", "entity_type").agg(F.count("*").alias("spans"))
+
+
+@query
+def missing_required(spark, sf_dir):
+    return G.missing_required(X.locations(M.memos(spark, sf_dir)), "location", ["body", "comment", "footer", "metadata"])
+
+
+@query
+def type_colours(spark, sf_dir):
+    return long(G.type_colours(mixed(M.memos(spark, sf_dir))))
+
+
+@query
+def truth_values(spark, sf_dir):
+    return U.truth_values(M.labels(M.memos(spark, sf_dir)))
+
+
+@query
+def study_plan(spark, sf_dir):
+    papers = read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("document_id"), F.col("r_name").alias("title"))
+    asked = read(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("document_id"), F.col("n_nationkey").cast("long").alias("question_id"))
+    return U.plan(papers, asked).select("document_id", "question_id", "variant", "request_id", "title")
+
+
+@query
+def nth_of_group(spark, sf_dir):
+    return U.nth_of_group(M.memos(spark, sf_dir).select("doc_id", "language", "format"), 2, "language", "format")
+
+
+@query
+def folded_names(spark, sf_dir):
+    name = F.concat_ws("  /  ", "p_name", "p_type")
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), name.alias("v"))
+    return rows.select("id", T.safe_name(F.col("v")).alias("safe"), T.collapse_fold(F.col("v")).alias("folded"), T.strip_all_fold(F.col("v")).alias("stripped"), F.sha2("v", 256).alias("key"))
+
+
+@query
+def truncated_text(spark, sf_dir):
+    return M.memos(spark, sf_dir).select("doc_id", F.md5(T.truncate_at_line(F.col("text"), 150, " (cut)")).alias("text_md5"))
+
+
+@query
+def clause_bounds(spark, sf_dir):
+    memo = M.memos(spark, sf_dir)
+    found = D.pattern_spans(memo, [D.DATE, D.INVOICE]).join(memo.select("doc_id", "text"), "doc_id")
+    return long(found.select("doc_id", "start", "end", T.clause(F.col("text"), F.col("start"), F.col("end")).alias("c")).select("doc_id", "start", "end", "c.left", "c.right"))
+
+
+@query
+def distinct_lines(spark, sf_dir):
+    return M.memos(spark, sf_dir).select("doc_id", F.md5(F.array_join(T.distinct_lines(F.concat_ws(chr(10), "text", "text")), chr(10))).alias("text_md5"))

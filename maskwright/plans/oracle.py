@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.study import VARIANTS
 from .memos import GLOSSARY, LABEL_SQL, MEMO_SQL
 
 EMAIL = r"[A-Za-z0-9._%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -151,3 +152,39 @@ SELECT doc_id, CAST(idx AS BIGINT) AS idx, text FROM words w WHERE EXISTS (SELEC
     "context_confusion": """SELECT o_orderpriority AS category, CAST(count(*) FILTER (WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 > 0) AS BIGINT) AS preserve_retained, CAST(count(*) FILTER (WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 = 0) AS BIGINT) AS preserve_dropped,
   CAST(count(*) FILTER (WHERE o_orderkey % 2 = 1 AND o_orderkey % 3 > 0) AS BIGINT) AS discard_retained, CAST(count(*) FILTER (WHERE o_orderkey % 2 = 1 AND o_orderkey % 3 = 0) AS BIGINT) AS discard_dropped FROM orders GROUP BY ALL""",
 }
+
+RULES = spans("memo", BASIC + PROJECT)
+SQL |= {
+    "merged_display": f"""WITH {MEMO_SQL}, {MIXED} SELECT doc_id, min("start") AS "start", max("end") AS "end", arg_min(entity_type, (-score, "start", -"end", entity_type)) AS entity_type, max(score) AS score FROM (
+  SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY "start", "end" DESC, entity_type, score ROWS UNBOUNDED PRECEDING) AS grp FROM (
+    SELECT *, CASE WHEN "start" < max("end") OVER (PARTITION BY doc_id ORDER BY "start", "end" DESC, entity_type, score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM span))
+  GROUP BY doc_id, grp""",
+    "pii_valid_cards": f"""SELECT * FROM ({spans('documents', [(CARD, 'CREDIT_CARD', 0.5)], True)}) WHERE list_sum(list_transform(range(1, 17),
+  lambda i: CASE WHEN i % 2 = 1 THEN (2 * CAST(substr(regexp_replace(value, '[^0-9]', '', 'g'), i, 1) AS INT)) // 10 + (2 * CAST(substr(regexp_replace(value, '[^0-9]', '', 'g'), i, 1) AS INT)) % 10
+    ELSE CAST(substr(regexp_replace(value, '[^0-9]', '', 'g'), i, 1) AS INT) END)) % 10 = 0""",
+    "detection_counts": f"WITH {MEMO_SQL} SELECT doc_id, entity_type, CAST(count(*) AS BIGINT) AS detections FROM ({RULES}) GROUP BY ALL",
+    "type_breakdown": f"{TYPED} SELECT type AS entity_type, method, {COUNTS}, {RECALL} FROM state GROUP BY ALL",
+    "worst_types": f"""{TYPED}, t AS (SELECT type AS entity_type, {COUNTS} FROM state WHERE method = 'rules' GROUP BY ALL)
+SELECT *, CASE WHEN planted = 0 THEN 'not tested' WHEN covered >= 0.95 * planted THEN 'good' WHEN covered + partial = 0 THEN 'not found' WHEN covered = 0 THEN 'partial only' WHEN covered + partial >= 0.95 * planted THEN 'often partial' ELSE 'misses' END AS verdict FROM t""",
+    "headline": f"{TYPED} SELECT CAST(count(*) FILTER (WHERE state = 'covered') AS BIGINT) AS found, CAST(count(*) AS BIGINT) AS labels FROM state WHERE method = 'rules'",
+    "recall_table": f"{TYPED} SELECT language AS dataset, method, {COUNTS}, {RECALL} FROM state GROUP BY ALL",
+    "recall_gate": f"""{TYPED}, g AS (SELECT method, language, {RECALL} FROM state GROUP BY ALL)
+SELECT CAST(count(*) AS BIGINT) AS groups, min(recall) AS least, bool_and(recall >= 0.5) AS passed FROM g WHERE method = 'rules' AND language IN ('en', 'fi')""",
+    "regression_gate": f"""{TYPED}, t AS (SELECT type, count(*) FILTER (WHERE state = 'covered' AND method = 'rules') AS b, count(*) FILTER (WHERE state = 'covered' AND method = 'basic') AS a FROM state GROUP BY ALL)
+SELECT coalesce(bool_or(a < b), false) AS regressed, CAST(count(*) FILTER (WHERE a < b) AS BIGINT) AS losses FROM t""",
+    "policy_changes": f"""WITH {MEMO_SQL}, {MIXED}, a AS (SELECT doc_id, "start", "end", entity_type FROM span), b AS (SELECT doc_id, "start", "end", entity_type FROM ({RULES}))
+SELECT 'lost' AS change, entity_type, CAST(count(*) AS BIGINT) AS spans FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY ALL UNION ALL SELECT 'recovered', entity_type, CAST(count(*) AS BIGINT) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY ALL""",
+    "missing_required": f"WITH {MEMO_SQL}, {SECTIONS} SELECT location FROM (SELECT unnest(['body', 'comment', 'footer', 'metadata']) AS location) EXCEPT SELECT location FROM region",
+    "type_colours": f"WITH {MEMO_SQL}, {MIXED} SELECT entity_type, CAST((dense_rank() OVER (ORDER BY entity_type) - 1) % 12 AS BIGINT) AS colour FROM (SELECT DISTINCT entity_type FROM span)",
+    "truth_values": f"WITH {MEMO_SQL}, {LABEL_SQL} SELECT doc_id, type, array_to_string(list_sort(list(DISTINCT value)), '; ') AS truth FROM label WHERE location = 'body' GROUP BY doc_id, type",
+    "study_plan": f"""SELECT document_id, question_id, variant, 'request-' || lpad(CAST(row_number() OVER (ORDER BY document_id, question_id, variant) AS VARCHAR), 5, '0') AS request_id, title
+FROM (SELECT CAST(n_regionkey AS BIGINT) AS document_id, CAST(n_nationkey AS BIGINT) AS question_id, r_name AS title, unnest({list(VARIANTS)}) AS variant FROM nation JOIN region ON r_regionkey = n_regionkey)""",
+    "nth_of_group": f"WITH {MEMO_SQL} SELECT doc_id, language, format FROM (SELECT *, row_number() OVER (PARTITION BY language, format ORDER BY doc_id) AS r FROM memo) WHERE r = 3",
+    "folded_names": r"""SELECT CAST(p_partkey AS BIGINT) AS id, regexp_replace(v, '[^\w.-]+', '_', 'g') AS safe, lower(trim(regexp_replace(v, '\s+', ' ', 'g'))) AS folded, lower(regexp_replace(v, '\s+', '', 'g')) AS stripped, sha256(v) AS key FROM (SELECT p_partkey, p_name || '  /  ' || p_type AS v FROM part)""",
+    "truncated_text": f"""WITH {MEMO_SQL} SELECT doc_id, md5(CASE WHEN length(text) <= 150 THEN text ELSE rtrim(CASE WHEN n > 0 THEN substr(head, 1, length(head) - n) ELSE head END, ' ' || chr(10)) || ' (cut)' END) AS text_md5
+FROM (SELECT doc_id, text, substr(text, 1, 150) AS head, strpos(reverse(substr(text, 1, 150)), chr(10)) AS n FROM memo)""",
+    "clause_bounds": f"""WITH {MEMO_SQL} SELECT doc_id, "start", "end", CAST("start" - length(regexp_extract(substr(text, 1, "start"), '[^\\n.;!?]*$')) AS BIGINT) AS "left", CAST("end" + length(regexp_extract(substr(text, "end" + 1), '^[^\\n.;!?]*')) AS BIGINT) AS "right"
+FROM ({spans('memo', [(DATE, 'DATE_TIME', 0.6), PROJECT[1]])}) JOIN memo USING (doc_id)""",
+    "distinct_lines": f"""WITH {MEMO_SQL} SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS text_md5 FROM (
+  SELECT doc_id, trim(regexp_replace(a[i], '\\s+', ' ', 'g')) AS line, min(i) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM memo) q, unnest(range(1, len(a) + 1)) AS u(i) GROUP BY doc_id, line) WHERE line <> '' GROUP BY doc_id""",
+}
