@@ -13,15 +13,17 @@ from maskwright.llm import bpe, decontaminate, language_id, line_dedup, ngram_jo
 from maskwright.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text of several languages is still clean; one below this is explained by no language.
+#: A text of several languages is still clean; one below this has no clear one.
 LEAST_SCORE = 0.2
+#: Least share of a text's trigrams that the learned languages explain better than chance.
+LEAST_FIT = 1 / 3
 
 
 def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those of no clear language."""
+    """Drops documents without a letter, those of no clear language and those that no learned language explains."""
     model = language_id.fit_documents(docs)
     found = language_id.identify_language(docs, model)
-    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & (F.col("lang_fit") >= LEAST_FIT)).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,10 +5,12 @@ character trigrams, counted over all labelled documents that may be learned
 from. A text is taken for a mixture of languages: expectation-maximisation
 estimates the proportions from its trigrams' likelihoods. The set of languages
 starts with the one likeliest alone and grows while the log likelihood gains
-more than a penalty. The prediction is the set's largest share.
+more than a penalty. The prediction is the set's largest share. How far the set
+explains the text at all is its fit: the share of trigrams that it takes when it
+is mixed with a source of no language, which gives every bucket alike.
 
-Defined results: a null text or one without a letter is ``und`` with score 0,
-and so is every text where nothing was learned. A document whose id is null is
+Defined results: a null text or one without a letter is ``und`` with score 0
+and fit 0, and so is every text where nothing was learned. A document whose id is null is
 never learned from and counts as held out. Ties go to the language that sorts
 first.
 """
@@ -104,9 +106,22 @@ def mixture(owner: np.ndarray, weight: np.ndarray, probs: np.ndarray, shares: np
     return shares, likelihood
 
 
-def identify(texts: list[str], names: list[str], logs: np.ndarray, penalty: float = 3.0, rounds: int = 6) -> list[tuple[str, float, dict[str, float]]]:
-    """(language, score, proportions of the selected set) of each text."""
-    out: list[tuple[str, float, dict[str, float]]] = [(UNKNOWN, 0.0, {})] * len(texts)
+def explained(owner: np.ndarray, weight: np.ndarray, likely: np.ndarray, uniform: np.ndarray, rounds: int = 10) -> np.ndarray:
+    """EM for each text's share of trigrams that ``likely`` explains and ``uniform`` does not; one more on each side keeps very short texts in doubt."""
+    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    lengths = np.diff(np.r_[starts, len(owner)])
+    total = np.add.reduceat(weight, starts)
+    share = np.full(len(starts), 0.5)
+    for _ in range(rounds):
+        each = np.repeat(share, lengths)
+        mine = each * likely
+        share = (np.add.reduceat(weight * mine / (mine + (1 - each) * uniform), starts) + 1) / (total + 2)
+    return share
+
+
+def identify(texts: list[str], names: list[str], logs: np.ndarray, penalty: float = 3.0, rounds: int = 6) -> list[tuple[str, float, dict[str, float], float]]:
+    """(language, score, proportions of the selected set, fit) of each text."""
+    out: list[tuple[str, float, dict[str, float], float]] = [(UNKNOWN, 0.0, {}, 0.0)] * len(texts)
     if not names:
         return out
     owner, bucket = trigrams(texts)
@@ -149,9 +164,14 @@ def identify(texts: list[str], names: list[str], logs: np.ndarray, penalty: floa
     order = np.sort(alone, 1)
     margin = (order[:, -1] - order[:, -2]) / np.sqrt(n) if len(names) > 1 else np.full(len(docs), np.inf)
     sure = 1 / (1 + np.exp(-np.minimum(margin, 50)))
+    which = np.repeat(np.arange(len(docs)), np.diff(np.r_[starts, len(owner)]))
+    # what a language gives an unmet bucket is smoothing, which explains nothing
+    floor = logs.min(0)
+    met = np.maximum(probs - np.exp(floor - top[:, None]), 0) / np.maximum(1 - BUCKETS * np.exp(floor), 1e-9)
+    fit = explained(owner, weight, (met * shares[which]).sum(1), np.exp(-np.log(BUCKETS) - top))
     for k, d in enumerate(docs):
         win = int(shares[k].argmax())
-        out[d] = (names[win], float(min(1.0, shares[k][win] * sure[k])), {names[i]: float(shares[k][i]) for i in np.flatnonzero(shares[k] > 0)})
+        out[d] = (names[win], float(min(1.0, shares[k][win] * sure[k])), {names[i]: float(shares[k][i]) for i in np.flatnonzero(shares[k] > 0)}, float(fit[k]))
     return out
 
 
@@ -159,8 +179,8 @@ _probs: dict[str, tuple] = {}
 
 
 def identify_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with lang_pred, score and lang_mix, the map of the selected languages' proportions."""
-    made = ["lang_pred", "score", "lang_mix"]
+    """``docs`` with lang_pred, score, lang_mix, the map of the selected languages' proportions, and lang_fit."""
+    made = ["lang_pred", "score", "lang_mix", "lang_fit"]
     docs = without(docs, *made)
     shared = docs.sparkSession.sparkContext.broadcast((model[0], model[1].astype(np.float32)))
     at = docs.columns.index(text_col)
@@ -171,11 +191,11 @@ def identify_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text
             texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, z in chunks([len(t) for t in texts], CHUNK_CHARS):
                 found = identify(texts[a:z], names, logs, **options)
-                columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.field("value", pa.float64(), False)))]
+                columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.field("value", pa.float64(), False))), pa.array([f[3] for f in found], pa.float64())]
                 piece = batch.slice(a, z - a)
                 yield pa.RecordBatch.from_arrays([*piece.columns, *columns], [*piece.schema.names, *made])
 
-    kinds = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_mix", T.MapType(T.StringType(), T.DoubleType(), False))]
+    kinds = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_mix", T.MapType(T.StringType(), T.DoubleType(), False)), T.StructField("lang_fit", T.DoubleType())]
     return docs.mapInArrow(predict, T.StructType([*docs.schema.fields, *kinds]))
 
 

@@ -1,3 +1,4 @@
+import random
 import sys
 from pathlib import Path
 
@@ -6,6 +7,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import test_decontaminate
 import test_line_dedup
 import test_ngram_join
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from maskwright.llm import bpe, language_id
@@ -48,3 +50,14 @@ def test_odd_rows_pass_every_stage(spark, odd_docs, sf):
     empty = odd_docs.limit(0).select(*corpus_pipeline.COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_texts_of_no_learned_language_go(spark, sf):
+    draw, docs = random.Random(5), spark.read.parquet(f"{sf}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "".join(map(chr, range(0x4E00, 0x9000)))]
+    planted = [(-1 - k, " ".join("".join(draw.choices(alphabets[k % 3], k=draw.randint(3, 9))) for _ in range(draw.choice([20, 100, 1000]))), None, "p", None) for k in range(60)]
+    planted += [(-100, "Съешь же ещё этих мягких французских булок да выпей чаю", None, "p", None)]
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+    held = ids(docs.filter(F.col("text").rlike(r"\p{L}")))
+    kept = ids(corpus_pipeline.reject_unknown_language(spark, docs.unionByName(spark.createDataFrame(planted, docs.schema)), sf))
+    assert not {d for d in kept if d < 0} and kept == held
