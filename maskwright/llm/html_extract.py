@@ -3,10 +3,14 @@
 The standard library's parser streams events. Text gathers into lines, one per
 block element; each line has its ratio of characters to tags. The ratios are
 smoothed with a Gaussian kernel and two clusters are told apart by a threshold,
-the standard deviation of the smoothed ratios. A region, that is the innermost
-container of a line, is content if its lines hold the greatest mass above the
-threshold, or a like share of it; then all its lines are kept, short ones too.
-Elements that are boilerplate by tag, role, class or id never give lines.
+the standard deviation of the smoothed ratios. A region is an article, main or
+div element or the body; sections, cells, quotes and figures are part of the
+region around them. An article with a line above the threshold is kept whole,
+short lines too. Without articles, a region that has such a line of its own, or
+several regions with such lines in it, is kept with all that stands in it; one
+that merely holds such a region gives its own lines. The body gives its own
+lines if one is above the threshold, or else its headings. Elements that are
+boilerplate by tag, role, class or id never give lines.
 
 Defined results: null, empty and markup-only pages give an empty text; broken
 markup is read on as far as it goes; repeated rows are extracted each.
@@ -28,7 +32,10 @@ from pyspark.sql import types as T
 from .common import chunks, table, without
 
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul br head title".split())
-CONTAINERS = frozenset("article main section div body td center figure details blockquote".split())
+#: What ends the search for an open paragraph.
+SCOPES = frozenset("article main section div body td center figure details blockquote".split())
+CONTAINERS = frozenset("article main div body center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("head title nav header footer aside form script style noscript template menu button select option textarea iframe object svg canvas dialog search fieldset label datalist audio video map applet math".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
@@ -62,24 +69,25 @@ def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Lines(HTMLParser):
-    """Streams a page into lines: (text, tags, region, inside an article or main element)."""
+    """Streams a page into lines: (text, tags, region, outermost article or main element around it or 0, whether it is a heading)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int]] = []
         self.dropped = 0
-        self.article = 0
+        self.articles: list[int] = []
         self.regions = 0
-        self.parents: dict[int, int] = {}
+        self.parents = [0]
+        self.pages = {0}
         self.text: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, bool]] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
             region = next((r for _, _, r in reversed(self.stack) if r), 0)
-            self.lines.append((text, self.tags, region, self.article > 0))
+            self.lines.append((text, self.tags, region, self.articles[0] if self.articles else 0, bool(self.stack) and self.stack[-1][0] in HEADINGS))
         self.text, self.tags = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -96,9 +104,12 @@ class Lines(HTMLParser):
                 self.pop()
             if tag in CONTAINERS:
                 self.regions += 1
-                self.parents[self.regions] = next((r for _, _, r in reversed(self.stack) if r), 0)
+                self.parents.append(next((r for _, _, r in reversed(self.stack) if r), 0))
+                if tag == "body":
+                    self.pages.add(self.regions)
             self.dropped += drop
-            self.article += tag in ("article", "main")
+            if tag in ("article", "main"):
+                self.articles.append(self.regions)
             self.stack.append((tag, drop, self.regions if tag in CONTAINERS else 0))
 
     def handle_startendtag(self, tag, attrs):
@@ -110,7 +121,8 @@ class Lines(HTMLParser):
     def pop(self) -> None:
         tag, drop, _ = self.stack.pop()
         self.dropped -= drop
-        self.article -= tag in ("article", "main")
+        if tag in ("article", "main"):
+            self.articles.pop()
 
     def handle_endtag(self, tag):
         self.tags += 1
@@ -123,7 +135,7 @@ class Lines(HTMLParser):
                 while len(self.stack) > k:
                     self.pop()
                 return
-            if tag == "p" and self.stack[k][0] in CONTAINERS:
+            if tag == "p" and self.stack[k][0] in SCOPES:
                 return
 
     def handle_data(self, data):
@@ -139,8 +151,26 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return around(ratios) / around(np.ones(len(ratios)))
 
 
-def extract_blocks(html: str | None, sigma: float = 1.0, share: float = 0.5) -> list[str]:
-    """The article's blocks in page order."""
+def judged(parents: list[int], pages: set[int], mass: list[float], single: float) -> list[int]:
+    """For each region 0: nothing stays, 1: its headings stay, 2: its own lines, 3: all that stands in it. Parents come before their children."""
+    whole, largest = list(mass), [0.0] * len(mass)
+    for r in range(len(mass) - 1, 0, -1):
+        p = parents[r]
+        whole[p] += whole[r]
+        largest[p] = max(largest[p], whole[r])
+    out = [0] * len(mass)
+    for r in range(len(mass)):
+        if r in pages:
+            out[r] = 2 if mass[r] else 1
+        elif out[parents[r]] == 3 or mass[r] or largest[r] < single * whole[r]:
+            out[r] = 3
+        elif whole[r]:
+            out[r] = 2
+    return out
+
+
+def extract_blocks(html: str | None, sigma: float = 1.0, single: float = 0.9) -> list[str]:
+    """The article's blocks in page order. ``single``: what share of a region's mass one region in it holds if the others are judged each for itself."""
     if not html:
         return []
     parser = Lines()
@@ -153,24 +183,19 @@ def extract_blocks(html: str | None, sigma: float = 1.0, share: float = 0.5) ->
     lines = parser.lines
     if not lines:
         return []
-    if any(x[3] for x in lines):
+    if inside := any(x[3] for x in lines):
         lines = [x for x in lines if x[3]]
-    ratios = np.array([len(t) / max(1, tags) for t, tags, _, _ in lines])
+    ratios = np.array([len(x[0]) / max(1, x[1]) for x in lines])
     smooth = smoothed(ratios, sigma)
-    threshold = smooth.std()
-    mass: dict[int, float] = {}
-    for (text, _, region, _), s in zip(lines, smooth, strict=True):
-        mass[region] = mass.get(region, 0) + (len(text) if s >= threshold else 0)
-    most = max(mass.values())
-    if most == 0:
+    mass = [0.0] * (parser.regions + 1)
+    for x, above in zip(lines, np.minimum(smooth, ratios) >= smooth.std(), strict=True):  # smoothing alone would lift a menu beside the article
+        mass[x[3] or x[2]] += len(x[0]) if above else 0
+    if not any(mass):
         return [x[0] for x in lines]
-    inside = any(x[3] for x in lines)
-    chosen = {r for r, m in mass.items() if m >= share * most or inside and m > 0}
-    if inside:  # headings and leads stand in the elements around the body of an article
-        for r in list(chosen):
-            while r := parser.parents.get(r, 0):
-                chosen.add(r)
-    return [x[0] for x in lines if x[2] in chosen]
+    if inside:
+        return [x[0] for x in lines if mass[x[3]]]
+    stays = judged(parser.parents, parser.pages, mass, single)
+    return [x[0] for x in lines if stays[x[2]] > 1 or x[4] and stays[x[2]]]
 
 
 def extract_text(html: str | None, **options) -> str:

@@ -42,3 +42,19 @@ def test_odd_pages(spark):
     out = [(r.page_id, r.text) for r in html_extract.extract_pages(df).collect()]
     assert len(out) == 8 and dict(out)[1] == dict(out)[2] == dict(out)[3] == "" and dict(out)[5] == "plain text only" and len(dict(out)[6]) == 499_999
     assert html_extract.extract_pages(df.limit(0)).count() == 0
+
+
+def test_parts_of_one_article_stay_together():
+    say = lambda name, n: (f"{name} is a part of the article. " * n)[: n * 10].strip()
+    para = lambda name, n: "".join(f"<p>{say(name, 40)}</p>" for _ in range(n))
+    cells = "<table>" + "".join("<tr>" + "".join(f"<td>cell{i}{j}</td>" for j in range(3)) + "</tr>" for i in range(6)) + "</table>"
+    quote = "<blockquote><p>Brief.</p></blockquote><figure><img src=x><figcaption>A view</figcaption></figure><details><summary>More</summary>Few words.</details>"
+    links = "<div>" + "".join(f'<a href="/{i}">Link {i}</a><br>' for i in range(20)) + "</div>"
+    text = lambda html: " ".join(re.sub(r"<[^>]*>", " ", html).split())
+    for tag in ("section", "div"):
+        unlike = "<h1>Title</h1>" + "".join(f"<{tag}><h2>Head {n}</h2>{para(n, n)}</{tag}>" for n in (8, 3, 2)) + f"<{tag}><p>Short end.</p></{tag}>"
+        for inner in (unlike, para("a", 2) + cells + para("b", 2), para("a", 2) + f"<{tag}>{cells}</{tag}>" + para("b", 2), para("a", 3) + quote + para("b", 1)):
+            assert html_extract.extract_text(f"<body>{links}<article>{inner}</article>{links}") == text(inner)
+            assert html_extract.extract_text(f"<body>{links}<div class='post'>{inner}</div>{links}") == text(inner)
+            assert html_extract.extract_text(f"<body><div id='page'>{links}<div class='post'>{inner}</div>{links}</div>") == text(inner)
+            assert html_extract.extract_text(f"<body><h1>Over</h1>{links}<div><h2>Outer</h2><div>{inner}</div></div>{links}") == "Over Outer " + text(inner)
