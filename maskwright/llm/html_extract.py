@@ -138,6 +138,11 @@ class Lines(HTMLParser):
             if tag == "p" and self.stack[k][0] in SCOPES:
                 return
 
+    def parse_marked_section(self, i, report=1):
+        """A declaration other than CDATA, or one without its end, is a comment up to the next ``>``, as in browsers."""
+        end = super().parse_marked_section(i, report) if self.rawdata.startswith("<![CDATA[", i) else -1
+        return end if end >= 0 else self.parse_bogus_comment(i, report)
+
     def handle_data(self, data):
         if not self.dropped:
             self.text.append(data)

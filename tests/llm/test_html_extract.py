@@ -58,3 +58,10 @@ def test_parts_of_one_article_stay_together():
             assert html_extract.extract_text(f"<body>{links}<div class='post'>{inner}</div>{links}") == text(inner)
             assert html_extract.extract_text(f"<body><div id='page'>{links}<div class='post'>{inner}</div>{links}</div>") == text(inner)
             assert html_extract.extract_text(f"<body><h1>Over</h1>{links}<div><h2>Outer</h2><div>{inner}</div></div>{links}") == "Over Outer " + text(inner)
+
+
+def test_unknown_declarations_lose_nothing():
+    for odd in ("<![foo]>", "<![foo[x]]>", "<![ y]>", "<![if x>"):
+        assert html_extract.extract_blocks(f"a{odd}b<p>c") == ["ab", "c"]
+        assert html_extract.extract_text(f"{odd}<article><p>one {odd} two<p>three</article>") == "one two three"
+        assert html_extract.extract_text(f"<article><p>one{odd}</article>{odd}<p>x") == "one"
