@@ -4,7 +4,11 @@ Words are mapped to units: the ``frequent`` most frequent training words are
 units of their own, all others share ``suffixes`` units by their last
 characters, and the end of a text is one. Exchange clustering on the unit
 bigrams of all training texts assigns units, and so every word that can occur,
-to classes. A word's probability is
+to classes. Then every other broadcast word that occurs ``least`` times or more
+becomes a unit too, at first in its suffix's class, and is exchanged in
+``passes`` over the texts by its own bigrams with classes; so the clustered vocabulary grows with
+the corpus. Transitions are counted with the final classes. A word's
+probability is
 
     P(w | history) = P(class(w) | class of the word before) * P(w | class(w)),
 
@@ -15,7 +19,8 @@ sum to one. The class before the first word is that of an end.
 Word counts cover all training texts and stay in a table. Scoring is two-tier:
 counts of at most ``broadcast_words`` frequent words are broadcast and looked
 up in place; the other words of a document, with their number, meet the table
-in a join. The unit bigrams gathered are bounded by the number of units.
+in a join. The bigrams gathered are those of the first units, bounded by their
+number, and for each word exchanged later those with the classes.
 
 Defined results: a null text is empty, it has one token, its end; a document
 without an id is held out; repeated rows are scored each; with nothing to learn
@@ -71,6 +76,27 @@ class Units(dict):
         return np.array([u if (u := get(w)) is not None else tail(w) for w in words], np.int64)
 
 
+def _move(counts: np.ndarray, c: int, out: np.ndarray, into: np.ndarray, loop: float, classes: int) -> int:
+    """Moves a unit of class c to the class that raises the likelihood most, in ``counts`` too, and returns that class."""
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    counts[c] -= out
+    counts[:, c] -= into
+    counts[c, c] -= loop
+    rows, columns = counts.sum(1), counts.sum(0)
+    gain = (f(counts + out[None, :]) - f(counts)).sum(1) + (f(counts + into[:, None]) - f(counts)).sum(0)
+    # the diagonal gets what goes out to, comes in from and stays in the class at once
+    d = np.diag(counts)
+    gain += f(d + out + into + loop) - f(d + out) - f(d + into) + f(d)
+    gain -= f(rows + out.sum() + loop) - f(rows) + f(columns + into.sum() + loop) - f(columns)
+    best = int(np.argmax(gain[:classes]))
+    if gain[best] <= gain[c] + 1e-9:
+        best = c
+    counts[best] += out
+    counts[:, best] += into
+    counts[best, best] += loop
+    return best
+
+
 def exchange(bigrams: np.ndarray, classes: int, rounds: int = 10) -> np.ndarray:
     """The class of each unit; the last unit, the end, keeps a class of its own, the last.
 
@@ -85,7 +111,6 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = 10) -> np.ndarray:
         own[u] = k % classes
     own[n - 1] = classes
     size = classes + 1
-    f = lambda x: x * np.log(np.maximum(x, 1))
     b = bigrams.astype(float)
     counts = np.zeros((size, size))
     np.add.at(counts, (own[:, None], own[None, :]), b)
@@ -99,28 +124,86 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = 10) -> np.ndarray:
             loop, c = b[u, u], own[u]
             out[c] -= loop
             into[c] -= loop
-            counts[c] -= out
-            counts[:, c] -= into
-            counts[c, c] -= loop
-            rows, columns = counts.sum(1), counts.sum(0)
-            gain = (f(counts + out[None, :]) - f(counts)).sum(1) + (f(counts + into[:, None]) - f(counts)).sum(0)
-            # the diagonal gets what goes out to, comes in from and stays in the class at once
-            d = np.diag(counts)
-            gain += f(d + out + into + loop) - f(d + out) - f(d + into) + f(d)
-            gain -= f(rows + out.sum() + loop) - f(rows) + f(columns + into.sum() + loop) - f(columns)
-            best = int(np.argmax(gain[:classes]))
-            if gain[best] <= gain[c] + 1e-9:
-                best = c
+            best = _move(counts, c, out, into, loop, classes)
             moved += best != c
             own[u] = best
-            counts[best] += out
-            counts[:, best] += into
-            counts[best, best] += loop
         if not moved:
             break
     return own
 
 
+def _sequences(batches: Iterator[pa.RecordBatch], own: Units) -> Iterator[np.ndarray]:
+    """The units of the texts in pieces of some million; each piece begins and ends with an end."""
+    for batch in batches:
+        held: list[np.ndarray] = [np.array([own.end])]
+        length = 0
+        for text in batch.column(0).cast(pa.binary()).to_pylist():
+            held += [own.of(words_of(text)), np.array([own.end])]
+            length += len(held[-2]) + 1
+            if length > 2_000_000:
+                yield np.concatenate(held)
+                held, length = [np.array([own.end])], 0
+        if length:
+            yield np.concatenate(held)
+
+
+def _summed(texts: DataFrame, count) -> tuple[np.ndarray, np.ndarray]:
+    found = texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    return found["key"].to_numpy(), found["n"].to_numpy()
+
+
+def _sparse(total: np.ndarray) -> pa.RecordBatch:
+    some = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["key", "n"])
+
+
+def _exchange_more(texts: DataFrame, units, suffixes: int, class_of: np.ndarray, first: int, classes: int) -> np.ndarray:
+    """``class_of`` after each word from unit ``first`` on was moved once, most frequent first."""
+    n_more, size = len(units.value) - first, classes + 1
+    width = 2 * size + 1  # classes after the word, classes before it, the word itself
+    base = n_more * width  # from here on the bigrams of classes
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(base + size * size, np.int64)
+        for seq in _sequences(batches, Units(units.value, suffixes)):
+            word, kind = seq - first, class_of[seq]
+            mine = (word >= 0) & (word < n_more)
+            same = word[:-1] == word[1:]
+            a, b = mine[:-1] & ~same, mine[1:] & ~same
+            keys = [word[:-1][a] * width + kind[1:][a], word[1:][b] * width + size + kind[:-1][b], word[:-1][mine[:-1] & same] * width + 2 * size, base + kind[:-1] * size + kind[1:]]
+            found, n = np.unique(np.concatenate(keys), return_counts=True)
+            total[found] += n
+        yield _sparse(total)
+
+    key, n = _summed(texts, count)
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    bounds = np.searchsorted(key, np.arange(n_more + 1) * width)
+    counts, own = np.zeros(size * size), class_of.copy()
+    counts[key[bounds[-1] :] - base] = n[bounds[-1] :]
+    counts = counts.reshape(size, size)
+    for w in range(n_more):
+        at = slice(bounds[w], bounds[w + 1])
+        vector = np.zeros(width)
+        vector[key[at] - w * width] = n[at]
+        own[first + w] = _move(counts, int(own[first + w]), vector[:size], vector[size : 2 * size], vector[-1], classes)
+    return own
+
+
+def _class_bigrams(texts: DataFrame, units, suffixes: int, class_of: np.ndarray, size: int) -> np.ndarray:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for seq in _sequences(batches, Units(units.value, suffixes)):
+            kind = class_of[seq]
+            total += np.bincount(kind[:-1] * size + kind[1:], minlength=size * size)
+        yield _sparse(total)
+
+    key, n = _summed(texts, count)
+    joint = np.zeros(size * size)
+    joint[key] = n
+    return joint.reshape(size, size)
+
+
 @dataclass
 class Model:
     counts: DataFrame  # (word binary, n): all training words
@@ -172,7 +255,7 @@ def _most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(zip(rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
 
 
-def train(training: DataFrame, text_col: str = "text", frequent: int = 511, suffixes: int = 256, classes: int = 48, broadcast_words: int = 150_000, pull: float = 5.0) -> Model:
+def train(training: DataFrame, text_col: str = "text", frequent: int = 511, suffixes: int = 256, classes: int = 48, broadcast_words: int = 150_000, pull: float = 5.0, least: int = 100, passes: int = 2) -> Model:
     """Learns from all rows of ``training``. ``pull``: weight of a class's share in its transitions."""
     texts = training.select(F.col(text_col).alias("text"))
     counts = written(_counted(texts), "word-counts")
@@ -186,20 +269,9 @@ def train(training: DataFrame, text_col: str = "text", frequent: int = 511, suff
         own = Units(units.value, suffixes)
         total = np.zeros(size * size, np.int64)
         n_docs = 0
-        for batch in batches:
-            held: list[np.ndarray] = [np.array([own.end])]
-            length = 0
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                held += [own.of(words_of(text)), np.array([own.end])]
-                n_docs += 1
-                length += len(held[-2]) + 1
-                if length > 2_000_000:
-                    seq = np.concatenate(held)
-                    total += np.bincount(seq[:-1] * size + seq[1:], minlength=size * size)
-                    held, length = [np.array([own.end])], 0
-            if length:
-                seq = np.concatenate(held)
-                total += np.bincount(seq[:-1] * size + seq[1:], minlength=size * size)
+        for seq in _sequences(batches, own):
+            total += np.bincount(seq[:-1] * size + seq[1:], minlength=size * size)
+            n_docs += int((seq == own.end).sum()) - 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(total[some], n_docs), pa.int64())], ["pair", "n"])
 
@@ -212,6 +284,16 @@ def train(training: DataFrame, text_col: str = "text", frequent: int = 511, suff
     class_of = exchange(bigrams, classes)
     joint = np.zeros((classes + 1, classes + 1))
     np.add.at(joint, (class_of[:, None], class_of[None, :]), bigrams)
+    more = [w for w, k in known[len(top) :] if k >= least]
+    if more:
+        first = len(top)
+        tails = Units([], suffixes).of(more)
+        class_of = np.concatenate([class_of[:first], class_of[first + tails], class_of[first:]])
+        top = top + more
+        units = spark.sparkContext.broadcast(top)
+        for _ in range(passes):
+            class_of = _exchange_more(texts, units, suffixes, class_of, first, classes)
+        joint = _class_bigrams(texts, units, suffixes, class_of, classes + 1)
     share = (joint.sum(0) + 1) / (joint.sum() + classes + 1)
     transition = np.log10((joint + pull * share) / (joint.sum(1, keepdims=True) + pull))
     shared = spark.sparkContext.broadcast(class_of)

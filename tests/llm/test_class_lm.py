@@ -65,3 +65,18 @@ def test_exchange_finds_planted_classes():
     bigrams[:n, :n] = big
     own = class_lm.exchange(bigrams, 3)
     assert own[n] == 3 and len({(int(a), int(b)) for a, b in zip(kinds, own[:n], strict=True)}) == 3
+
+
+def test_words_beyond_the_first_units_are_clustered(spark):
+    rng, n = np.random.default_rng(1), 40
+    # words of three kinds that follow one another in turn; endings say nothing of the kind
+    word = lambda kind: f"{'abc'[kind]}{rng.integers(n)}end"
+    texts = spark.createDataFrame([(" ".join(word(k % 3) for k in range(60)),) for _ in range(400)], "text string")
+    options = {"frequent": 12, "suffixes": 4, "classes": 3}
+    model, few = class_lm.train(texts, **options), class_lm.train(texts, **options, least=10**9)
+    assert len(model.frequent) == 3 * n and len(few.frequent) == 12
+    kinds = [(w[:1], int(c)) for w, c in zip(model.frequent, model.class_of, strict=False)]
+    assert len(set(kinds)) == len(dict(kinds)) == 3
+    assert np.allclose((10**model.transition).sum(1), 1)
+    total = lambda m: sum(r.score for r in class_lm.score_documents(texts, m).collect())
+    assert total(model) > total(few)
