@@ -29,7 +29,7 @@ def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that three documents or more hold from all but the largest doc_id; documents left without a word go."""
     out = line_dedup.dedup_lines(docs)
-    gone = (F.col("n_dropped") > 0) & (F.trim(F.col("text")) == "")
+    gone = (F.col("n_dropped") > 0) & ~F.col("text").rlike(decontaminate.SQL_WORD)
     return out.filter(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -61,3 +61,10 @@ def test_texts_of_no_learned_language_go(spark, sf):
     held = ids(docs.filter(F.col("text").rlike(r"\p{L}")))
     kept = ids(corpus_pipeline.reject_unknown_language(spark, docs.unionByName(spark.createDataFrame(planted, docs.schema)), sf))
     assert not {d for d in kept if d < 0} and kept == held
+
+
+def test_copies_left_with_blank_lines_go(spark, sf):
+    text = "A line that is copied.\n\n\t\n---\nAnother line that is copied."
+    rows = [(k, text, "en", "p", len(text)) for k in range(5)]
+    kept = corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf).collect()
+    assert [r.doc_id for r in kept] == [4] and kept[0].text == text
