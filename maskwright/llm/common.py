@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,9 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_scopes: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, reread: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -47,9 +52,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._maskwright_path = path
+    for scope in _scopes:
+        scope.append(back)
     return back
 
 
+def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``build`` returns as a written table; every other table that was written on the way is deleted.
+
+    Operators return plans that may still read the tables they wrote. Where the
+    result is wanted once and whole, this leaves the result alone behind.
+    """
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        out = written(build(), name)
+    finally:
+        _scopes.pop()
+    for df in made:
+        if df is not out:
+            discard(df)
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``written`` that no later plan reads."""
     path = getattr(df, "_maskwright_path", None)
@@ -59,6 +84,20 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+LEAST_LONG = -(2**63)
+
+
+def ordered_key(number: Column, digest: Column) -> Column:
+    """16 bytes that sort as ``number`` (a long) does and tell rows of one number apart by a 64-bit ``digest``."""
+    eight = lambda x: F.unhex(F.lpad(F.hex(x), 16, "0"))
+    return F.concat(eight(number.bitwiseXOR(F.lit(LEAST_LONG))), eight(digest))
+
+
+def number_of(key: Column) -> Column:
+    """The number in an ``ordered_key``."""
+    return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(LEAST_LONG))
+
+
 def chunks(sizes: list[int], most: int):
     """Ranges ``(start, end)`` of consecutive rows whose sizes add up to ``most`` or are one row."""
     start = total = 0

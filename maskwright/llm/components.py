@@ -2,6 +2,11 @@
 
 Every step is an aggregation that combines on the map side and a join; each
 round is written to the shared folder. Links are never gathered anywhere.
+
+Hubs: a node of more than 1/HUBS of all link ends is a hub. There are fewer
+than HUBS of them however large the input, so hubs and their least neighbours
+are broadcast, and no task of a join holds all links of a hub. Nodes are longs
+or any other type that sorts.
 """
 
 from __future__ import annotations
@@ -11,15 +16,19 @@ from pyspark.sql import functions as F
 
 from .common import discard, written
 
+HUBS = 1000
+
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v) with v < u. Large: larger neighbours go to the least one; small: smaller neighbours and the node itself do."""
+def _star(edges: DataFrame, large: bool, ends: int) -> DataFrame:
+    """edges (u, v) with v < u, of ``ends`` ends in all or more. Large: larger neighbours go to the least one; small: smaller neighbours and the node itself do."""
     if large:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    met = both.join(least, "u")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_k"))
+    hubs = least.filter(F.col("_k") > F.lit(ends / HUBS)).select("u", "m")
+    others = both.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.filter(F.col("_k") <= F.lit(ends / HUBS)).select("u", "m"), "u")
+    met = both.join(F.broadcast(hubs), "u").unionByName(others)
     if large:
         moved = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -41,9 +50,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     at = written(turned.filter("v < u").distinct(), "edges")
     before = _mark(at)
     while before[0]:
-        new = written(_star(_star(at, True), False), "edges")
+        half = written(_star(at, True, 2 * before[0]), "edges")
+        new = written(_star(half, False, before[0]), "edges")
         after = _mark(new)
         discard(at)
+        discard(half)
         at = new
         if after == before:
             break

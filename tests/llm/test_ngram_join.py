@@ -78,6 +78,43 @@ def test_groups_blocks_and_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 2, 3, 5, 6, 8, 9, 10, 11, 12]
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rng = random.Random(8)
+    words = lambda k: [f"w{rng.randint(0, 10**6)}" for _ in range(k)]
+    near = lambda w: " ".join([*w[:-1], "other"])
+    a, b = words(80), words(80)
+    docs = [(7, " ".join(a)), (20, " ".join(a)), (21, " ".join(a)), (7, " ".join(b)), (8, near(a)), (9, near(b)), (7, " ".join(b)), (-5, near(b))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = rows(ngram_join.near_duplicates(df))
+    assert out == brute(docs) and (8, 3, 7) in out and (9, 3, -5) in out
+    kept = [tuple(r) for r in ngram_join.drop_near_duplicates(df).collect()]
+    assert sorted(kept) == sorted([(7, " ".join(a)), (-5, near(b))])
+
+
+def test_recall_at_the_threshold(spark):
+    """Many pairs just above the threshold: the recall that the README states."""
+    rng = random.Random(11)
+    docs = []
+    for g in range(1500):
+        base = [f"v{rng.randint(0, 10**7)}" for _ in range(104)]
+        changed = list(base)
+        for k in rng.sample(range(5, 99, 6), 2):  # each changed word changes five of 100 shingles: 90 of 110 are common
+            changed[k] = f"u{g}.{k}"
+        docs += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(changed))]
+    got = rows(ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))
+    want = brute(docs)
+    links = sum(x[1] for x in want)
+    assert links == 3000 and sum(x[1] for x in got) >= 0.999 * links
+
+
+def test_components_of_hubs_and_chains(spark):
+    from maskwright.llm.components import connected_components
+
+    edges = [(1, k) for k in range(2, 3000)] + [(k, k + 1) for k in range(5000, 5030)] + [(5030, 2999), (9000, 9000), (9001, 9002), (9002, 9001)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: 1 for k in [*range(2, 3000), *range(5000, 5031)]} | {9002: 9001}
+
+
 def test_parts():
     assert ngram_join.depth_for(0.8, 24, 6, 0.9999) == 5 and ngram_join.depth_for(0.8, 2, 6, 0.9999) == 1
     sets = [np.unique(np.random.default_rng(i).integers(0, 60, 30).astype(np.uint64)) for i in range(12)]
