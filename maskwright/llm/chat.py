@@ -5,10 +5,15 @@ rolling hash of all turns up to it; a conversation whose hash equals that of a
 proper prefix of another one is a snapshot and goes. Of equal conversations the
 smallest conv_id stays. What is left is rendered.
 
-The order of turns is (turn, role, text). Exact repeats of a row count once. A
-null role reads ``unknown`` and a null text is empty; rows with a null conv_id
-form one conversation whose id is null. Equality means the same roles and texts
-in the same order, whatever the turn numbers.
+The order of turns is (turn, role, text), null turns first, so ties have one
+order. Exact repeats of a row count once. A null role reads ``unknown`` and a
+null text is empty. Rows with a null conv_id belong to no known conversation:
+each distinct one is a conversation of a single turn whose id is null, never
+merged with strangers. Equality means the same roles and texts in the same
+order, whatever the turn numbers. Texts of any length are hashed and rendered
+whole; a conversation is the largest unit one task holds. An empty table gives
+an empty result; columns besides conv_id, turn, role and text are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,19 +24,21 @@ from pyspark.sql import functions as F
 from .common import table
 
 ORACLE_SQL = """
-WITH turns AS (
+WITH told AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), turns AS (
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) ELSE 0 END AS lone FROM told
 ), rendered AS (
-  SELECT conv_id, count(*) AS n_turns,
+  SELECT conv_id, lone, count(*) AS n_turns,
     string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS chat
-  FROM turns GROUP BY conv_id
+  FROM turns GROUP BY conv_id, lone
 ), one AS (
   SELECT min(conv_id) AS conv_id, max(n_turns) AS n_turns, chat, count(*) AS n_equal FROM rendered GROUP BY chat
 ), prefixes AS (
   SELECT DISTINCT string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '')
-      OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS chat,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
-    count(*) OVER (PARTITION BY conv_id) AS n
+      OVER (PARTITION BY conv_id, lone ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS chat,
+    row_number() OVER (PARTITION BY conv_id, lone ORDER BY turn NULLS FIRST, role, text) AS k,
+    count(*) OVER (PARTITION BY conv_id, lone) AS n
   FROM turns
 )
 SELECT o.conv_id, CAST(o.n_turns AS BIGINT) AS n_turns, CAST(o.n_equal AS BIGINT) AS n_equal, o.chat
@@ -39,40 +46,46 @@ FROM one o WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.k < p.n AND p.k =
 """
 
 
+KEY = ["conv_id", "lone"]
+
+
 def rolling_hashes(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, k, n, h1, h2): the position, the number of turns and a 128-bit hash of the turns up to this one."""
+    """(conv_id, lone, turn, role, text, k, n, h1, h2): the position, the number of turns and a 128-bit hash of the turns up to this one; lone tells rows without a conversation apart."""
     turns = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     ).distinct()
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    turns = turns.withColumn("lone", F.when(F.col("conv_id").isNull(), F.sha2(F.to_json(F.struct("turn", "role", "text")), 256)).otherwise(""))
+    order = Window.partitionBy(*KEY).orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = turns.withColumn("k", F.row_number().over(order))
     # bits of position-tagged turn hashes: order matters, and a running xor needs no state beyond a number
     return placed.select(
-        "conv_id", "turn", "role", "text", "k",
-        F.count("*").over(Window.partitionBy("conv_id")).alias("n"),
+        *KEY, "turn", "role", "text", "k",
+        F.count("*").over(Window.partitionBy(*KEY)).alias("n"),
         F.bit_xor(F.xxhash64("k", "role", "text")).over(upto).alias("h1"),
         F.bit_xor(F.xxhash64(F.lit("second"), "text", "role", "k")).over(upto).alias("h2"),
     )
 
 
 def maximal_conversations(hashed: DataFrame) -> DataFrame:
-    """(conv_id, n_equal) of the conversations that no other one continues."""
-    final = hashed.filter(F.col("k") == F.col("n")).groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_equal"))
+    """(conv_id, lone, n_equal) of the conversations that no other one continues; of equal ones the smallest id, null last."""
+    least = F.min(F.struct(F.col("conv_id").isNull().alias("none"), *KEY)).alias("least")
+    final = hashed.filter(F.col("k") == F.col("n")).groupBy("n", "h1", "h2").agg(least, F.count("*").alias("n_equal"))
     proper = hashed.filter(F.col("k") < F.col("n")).select(F.col("k").cast("long").alias("n"), "h1", "h2").distinct()
-    return final.join(proper, ["n", "h1", "h2"], "left_anti").select("conv_id", "n_equal")
+    return final.join(proper, ["n", "h1", "h2"], "left_anti").select("least.conv_id", "least.lone", "n_equal")
 
 
 def format_chats(conversations: DataFrame, begin: str = "<|im_start|>", end: str = "<|im_end|>") -> DataFrame:
     """One row (conv_id, n_turns, n_equal, chat) for each maximal conversation."""
     hashed = rolling_hashes(conversations)
-    keep = maximal_conversations(hashed).withColumnRenamed("conv_id", "kept_id")
-    turns = hashed.join(keep, F.col("conv_id").eqNullSafe(F.col("kept_id")))
+    keep = maximal_conversations(hashed).select(F.col("conv_id").alias("_id"), F.col("lone").alias("_lone"), "n_equal")
+    turns = hashed.join(keep, F.col("conv_id").eqNullSafe(F.col("_id")) & (F.col("lone") == F.col("_lone")))
     line = F.concat(F.lit(begin), F.col("role"), F.lit("\n"), F.col("text"), F.lit(end), F.lit("\n"))
     listed = F.array_sort(F.collect_list(F.struct("k", line.alias("line"))))
-    return turns.groupBy("conv_id").agg(
+    out = turns.groupBy(*KEY).agg(
         F.count("*").alias("n_turns"), F.max("n_equal").alias("n_equal"), F.array_join(F.transform(listed, lambda x: x["line"]), "").alias("chat")
     )
+    return out.drop("lone")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
