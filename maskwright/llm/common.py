@@ -57,6 +57,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def sorted_run(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` as a written table that is bucketed and sorted by ``column``, in as many buckets as a shuffle has partitions: joins and aggregations by it need no exchange."""
+    spark = df.sparkSession
+    name = f"maskwright_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/maskwright/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, column).sortBy(column).option("compression", "zstd").option("path", path).saveAsTable(name)
+    back = spark.table(name)
+    back._maskwright_path, back._maskwright_table = path, name
+    for scope in _scopes:
+        scope.append(back)
+    return back
+
+
 def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
     """What ``build`` returns as a written table; every other table that was written on the way is deleted.
 
@@ -76,8 +90,10 @@ def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table made by ``written`` that no later plan reads."""
-    path = getattr(df, "_maskwright_path", None)
+    """Delete a table made by ``written`` or ``sorted_run`` that no later plan reads."""
+    path, name = getattr(df, "_maskwright_path", None), getattr(df, "_maskwright_table", None)
+    if name:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     if path:
         jvm = df.sparkSession._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)

@@ -2,36 +2,45 @@
 
 A line's key is the line without white space at its ends and with A-Z in lower
 case; keys of fewer than ``min_chars`` code points never count. Documents come
-in batches of descending doc_id ranges. A batch first merge-anti-joins the runs:
+in batches of descending doc_id ranges. A batch is first combined to one row a
+key: (line, n documents, largest doc_id). It then merge-anti-joins the runs:
 keys that a run already holds in ``min_docs`` documents are settled (their
 largest doc_id is in an earlier batch) and need no new entry. The other keys
-are added as a run of their own, sorted by hash: (line, n documents, largest
-doc_id). When a level has ``fanout`` runs they are merged into one of the next
-level. A key that the last merge shows in ``min_docs`` documents or more loses
-all its lines but those in the largest doc_id.
-
-Hashes are 128 bits wide. Hot lines: a key meets a task once per task of the
-stage before, because counts and maxima are combined before they are shuffled.
-
-Defined results: a null or empty text is one empty line; the lines of a
-document whose id is null neither count nor go; rows that share a doc_id are
-one document; a null text stays null.
+are added as a run of their own. When a level has ``fanout`` runs they are
+compacted into one of the next level. A key that the last compaction shows in
+``min_docs`` documents or more loses all its lines but those in the largest
+doc_id.
+
+A run is a table bucketed and sorted by line hash, so anti-joins and
+compactions merge bucket with bucket, without an exchange of the runs.
+
+Hashes are 128 bits wide. Hot lines: combining happens on the map side before
+the first shuffle by line, so a key meets a task at most once per task of the
+stage before. Where the documents of repeated keys are looked up, keys that make
+up more than 1/HOT of all (document, line) rows are fewer than HOT, whatever the
+input; they are broadcast, so no task holds all rows of such a key.
+
+Defined results: a null or empty text is one empty line; a text of any length
+is read whole, its lines being the largest unit held; the lines of a document
+whose id is null neither count nor go; rows that share a doc_id, repeats
+included, are one document; a null text stays null; an empty table gives an
+empty result; input columns named n_lines or n_dropped are replaced, others stay.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, discard, table, without, written
+from .common import chunks, discard, settled, sorted_run, table, without, written
 
 SPACE = b" \t\n\x0b\x0c\r"
 CHUNK_BYTES = 4 << 20
+HOT = 1000
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -61,24 +70,19 @@ def line_hashes(docs: DataFrame, min_chars: int = 20, text_col: str = "text") ->
 
 
 class LineRuns:
-    """The levels of sorted runs; each run is a written table (line, n, top)."""
+    """The levels of sorted runs; each run is a table (line, n, top) bucketed and sorted by line."""
 
     def __init__(self, min_docs: int = 3, fanout: int = 2):
         self.min_docs, self.fanout = min_docs, fanout
         self.levels: list[list[DataFrame]] = []
 
-    @staticmethod
-    def _run(rows: DataFrame) -> DataFrame:
-        merged = rows.groupBy("line").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
-        return written(merged.sortWithinPartitions("line"), "run")
-
     def add(self, batch: DataFrame) -> None:
         """``batch``: (doc_id, line) of documents whose ids are below those of all batches before."""
-        new = batch.distinct()
-        runs = [r.filter(F.col("n") >= self.min_docs).select("line") for level in self.levels for r in level]
-        if runs:  # one join for all runs: a chain of them could not be split at a hot line
-            new = new.join(reduce(DataFrame.union, runs).hint("merge"), "line", "left_anti")
-        made = self._run(new.select("line", F.lit(1).cast("long").alias("n"), F.col("doc_id").alias("top")))
+        new = batch.distinct().groupBy("line").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
+        for level in self.levels:
+            for run in level:
+                new = new.join(run.filter(F.col("n") >= self.min_docs).select("line").hint("merge"), "line", "left_anti")
+        made = sorted_run(new, "line", "run")
         level = 0
         while True:
             if len(self.levels) == level:
@@ -91,34 +95,41 @@ class LineRuns:
             level += 1
 
     def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for r in runs[1:]:
-            rows = rows.union(r)
-        merged = self._run(rows)
+        """Runs merged two by two: a full outer merge join keeps the bucketing, which a union would lose."""
+        both = runs[0]
+        for run in runs[1:]:
+            other = run.select("line", F.col("n").alias("_n"), F.col("top").alias("_top")).hint("merge")
+            zero = F.lit(0).cast("long")
+            both = both.join(other, "line", "full").select("line", (F.coalesce("n", zero) + F.coalesce("_n", zero)).alias("n"), F.greatest("top", "_top").alias("top"))
+        merged = sorted_run(both, "line", "run")
         for r in runs:
             discard(r)
         return merged
 
     def repeated(self) -> DataFrame:
-        """(line, top) of the keys found in ``min_docs`` documents or more; merges what is left."""
+        """(line, n, top) of the keys found in ``min_docs`` documents or more; compacts what is left."""
         runs = [r for level in self.levels for r in level]
         if len(runs) > 1:
-            self.levels = [[self._merge(runs)]]
-        return runs[0] if len(runs) == 1 else self.levels[0][0]
+            runs = [self._merge(runs)]
+            self.levels = [runs]
+        return runs[0].filter(F.col("n") >= self.min_docs)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2, text_col: str = "text") -> DataFrame:
     """``docs`` with the text's repeated lines gone, and n_lines (before) and n_dropped."""
     docs = without(docs, "n_lines", "n_dropped")
     lines = written(line_hashes(docs, min_chars, text_col), "lines")
-    low, high = lines.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low, high, rows = lines.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     runs = LineRuns(min_docs, fanout)
     if low is not None:
         width = (high - low) // batches + 1
         for b in reversed(range(batches)):
             runs.add(lines.filter((F.col("doc_id") >= low + b * width) & (F.col("doc_id") < low + (b + 1) * width)) if b + 1 < batches else lines.filter(F.col("doc_id") >= low + b * width))
-        again = runs.repeated().filter(F.col("n") >= min_docs).select("line", "top")
-        gone = lines.join(again, "line").filter(F.col("doc_id") < F.col("top")).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
+        again = runs.repeated()
+        hot = again.filter(F.col("n") > F.lit(rows / HOT)).select("line", "top")
+        cold = lines.join(F.broadcast(hot.select("line")), "line", "left_anti").join(again.filter(F.col("n") <= F.lit(rows / HOT)).select("line", "top"), "line")
+        met = lines.join(F.broadcast(hot), "line").unionByName(cold)
+        gone = met.filter(F.col("doc_id") < F.col("top")).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
     else:
         gone = lines.groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
     own = F.col("doc_id").cast("long")
@@ -164,5 +175,5 @@ FROM marked GROUP BY doc_id
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return settled(lambda: dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")), "line-dedup")
