@@ -11,6 +11,7 @@ or any other type that sorts.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,14 @@ from .common import discard, written
 HUBS = 1000
 
 
+def joined(labels: np.ndarray, near: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Gives all positions that ``near`` connects the least label among them, in place."""
+    for k in np.flatnonzero(near.any(1)).tolist():
+        met = np.unique(np.append(labels[right[near[k]]], labels[left[k]]))
+        if len(met) > 1:
+            labels[np.isin(labels, met)] = met[0]
+
+
 def _star(edges: DataFrame, large: bool, ends: int) -> DataFrame:
     """edges (u, v) with v < u, of ``ends`` ends in all or more. Large: larger neighbours go to the least one; small: smaller neighbours and the node itself do."""
     if large:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import number_of, ordered_key, settled, table, without, written
-from .components import connected_components
+from .components import connected_components, joined
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -158,14 +158,6 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def joined(labels: np.ndarray, near: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
-    """Gives all positions that ``near`` connects the least label among them, in place."""
-    for k in np.flatnonzero(near.any(1)).tolist():
-        met = np.unique(np.append(labels[right[near[k]]], labels[left[k]]))
-        if len(met) > 1:
-            labels[np.isin(labels, met)] = met[0]
-
-
 class Block:
     """The classes of one pair of blocks of a node, in the order of their ids."""
 
