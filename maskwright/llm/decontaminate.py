@@ -2,9 +2,10 @@
 
 Words are ``[0-9a-z]`` and every code point above U+007F after lower-casing
 A-Z. A window is ``n`` consecutive words of a benchmark item; an item of fewer
-words, but not none, is one window. Every worker holds the windows of one block
-as word ids, a bit table of their rolling hashes and a table for exact
-verification. Document texts are scanned in place: no shuffle.
+words, but not none, is one window. The driver lays the windows of one block out
+in flat arrays and broadcasts them: word ids for exact verification, their
+rolling hashes in order and a table of bits. A worker keeps the block from task
+to task. Document texts are scanned in place: no shuffle.
 
 The broadcast is bounded: the windows are counted first and are dealt into
 blocks of at most ``max_windows``; where there is more than one block the
@@ -13,13 +14,16 @@ ones found, so results are exact for a benchmark of any size.
 
 Defined results: a null or wordless text has no words and no hits; a null or
 wordless item has no windows; an item whose id is null is left out; repeated
-items count once; repeated documents each get their own row.
+items count once; repeated documents each get their own row; texts of any length
+are scanned whole; without items, or documents, nothing is hit; input columns
+that have a result column's name are replaced, others stay.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,25 +83,38 @@ def benchmark_windows(benchmark: DataFrame, n: int = 8, id_col: str = "item_id",
 
 
 class Windows:
-    """The windows of one block, ready to be looked up."""
-
-    def __init__(self, rows: list[tuple[int, bytes]]):
-        self.vocabulary: dict[bytes, int] = {}
-        self.items: dict[bytes, list[int]] = {}
-        lengths: dict[int, list[list[int]]] = {}
-        for item, window in rows:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in window.split(b" ")]
-            key = np.array(ids, np.int32).tobytes()
-            if key not in self.items:
-                self.items[key] = []
-                lengths.setdefault(len(ids), []).append(ids)
-            self.items[key].append(item)
-        self.bits: dict[int, np.ndarray] = {}
-        self.shift = np.uint64(64 - max(16, math.ceil(math.log2(256 * max(1, len(self.items))))))
-        for size, of in lengths.items():
-            bits = np.zeros(1 << int(np.uint64(64) - self.shift), bool)
-            bits[self._hash(np.array(of, np.uint64).T) >> self.shift] = True
-            self.bits[size] = bits
+    """The windows of one block in flat arrays, ready to be looked up.
+
+    About 60 bytes a window and 100 a distinct word: word ids, a sorted 64-bit
+    hash, one bit in a table of 64 bits a window, and the items of each.
+    """
+
+    def __init__(self, rows: pa.Table):
+        windows, items = rows["window"].combine_chunks(), rows["item_id"].to_numpy()
+        self.words = b" ".join(set(b" ".join(windows.to_pylist()).split(b" ")) - {b""})
+        self.vocabulary: dict[bytes, int] | None = None
+        get = self._ids().get
+        sizes = np.array([w.as_py().count(b" ") + 1 for w in windows], np.int64)
+        self.of: dict[int, tuple[np.ndarray, ...]] = {}
+        bits = max(16, math.ceil(math.log2(64 * max(1, len(windows)))))
+        self.shift = np.uint64(64 - bits)
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            ids = np.array([[get(w) for w in windows[i].as_py().split(b" ")] for i in at.tolist()], np.int32).reshape(len(at), size)
+            hashes = self._hash(list(ids.astype(np.uint64).T))
+            order = np.lexsort((items[at], *ids.T, hashes))
+            ids, hashes, own = ids[order], hashes[order], items[at][order]
+            new = np.r_[True, (ids[1:] != ids[:-1]).any(1)]
+            table_of = np.zeros((1 << bits) // 8, np.uint8)
+            slots = np.unique(hashes >> self.shift)
+            np.bitwise_or.at(table_of, (slots >> np.uint64(3)).astype(np.int64), np.uint8(1) << (slots & np.uint64(7)).astype(np.uint8))
+            self.of[size] = (table_of, hashes[new], ids[new], np.r_[np.flatnonzero(new), len(new)], own)
+        self.vocabulary = None  # made again where it is used: words alone travel in a broadcast
+
+    def _ids(self) -> dict[bytes, int]:
+        if self.vocabulary is None:
+            self.vocabulary = {w: i + 1 for i, w in enumerate(self.words.split(b" "))} if self.words else {}
+        return self.vocabulary
 
     @staticmethod
     def _hash(columns) -> np.ndarray:
@@ -111,21 +128,37 @@ class Windows:
         """Occurrences ``(start, length, items)``; 0 is a word outside the vocabulary or a document's end."""
         found = []
         wide = ids.astype(np.uint64)
-        for size, bits in self.bits.items():
+        for size, (table_of, hashes, windows, begins, items) in self.of.items():
             count = len(ids) - size + 1
             if count <= 0:
                 continue
-            hits = np.flatnonzero(bits[self._hash([wide[i : i + count] for i in range(size)]) >> self.shift])
-            for i in hits.tolist():
-                items = self.items.get(ids[i : i + size].tobytes())
-                if items:
-                    found.append((i, size, items))
+            own = self._hash([wide[i : i + count] for i in range(size)])
+            slots = own >> self.shift
+            hits = np.flatnonzero(table_of[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8) & 1)
+            for i, k in zip(hits.tolist(), np.searchsorted(hashes, own[hits]).tolist(), strict=True):
+                while k < len(hashes) and hashes[k] == own[i]:
+                    if (windows[k] == ids[i : i + size]).all():
+                        found.append((i, size, items[begins[k] : begins[k + 1]].tolist()))
+                        break
+                    k += 1
         return found
 
 
+_worker: dict[str, Windows] = {}
+
+
+def _shared(token: str, broadcast) -> Windows:
+    """A block's windows, kept in the worker from task to task; one block at a time."""
+    if token not in _worker:
+        _worker.clear()
+        _worker[token] = broadcast.value
+        _worker[token]._ids()
+    return _worker[token]
+
+
 def _scan(texts: list[bytes | None], windows: Windows) -> list[tuple[int, np.ndarray, set[int]]]:
     """For each text: its number of words, which words are hit (empty if none) and the items found."""
-    get = windows.vocabulary.get
+    get = windows._ids().get
     parts, starts, total, counts = [], [], 0, []
     gap = np.zeros(1, np.int32)
     for text in texts:
@@ -169,7 +202,7 @@ def _mask_of(text: str, spans: list[dict[str, int]], n: int) -> np.ndarray:
     return mask
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, text_col: str = "text", max_windows: int = 2_000_000) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, text_col: str = "text", max_windows: int = 500_000) -> DataFrame:
     """``docs`` with n_words, n_hit, items (sorted ids) and hit_spans (runs of hit words, code points)."""
     spark = docs.sparkSession
     docs = without(docs, *FOUND.fieldNames())
@@ -179,14 +212,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, text_c
     kinds = T.StructType(docs.schema.fields + FOUND.fields)
     for b in range(blocks):
         part = grams if blocks == 1 else grams.filter(F.pmod(F.xxhash64("item_id", "window"), F.lit(blocks)) == b)
-        rows = [(r[0], bytes(r[1])) for r in part.collect()]
-        windows = spark.sparkContext.broadcast(rows)
+        windows = spark.sparkContext.broadcast(Windows(part.toArrow()))
+        token = uuid.uuid4().hex
         first = b == 0
         source = docs
         text_at = source.columns.index(text_col)
 
-        def scan(batches: Iterator[pa.RecordBatch], windows=windows, text_at=text_at, first=first) -> Iterator[pa.RecordBatch]:
-            table_of = Windows(windows.value)
+        def scan(batches: Iterator[pa.RecordBatch], windows=windows, token=token, text_at=text_at, first=first) -> Iterator[pa.RecordBatch]:
+            table_of = _shared(token, windows)
             for batch in batches:
                 column = batch.column(text_at)
                 raw = column.cast(pa.binary()).to_pylist()
