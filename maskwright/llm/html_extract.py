@@ -12,8 +12,13 @@ that merely holds such a region gives its own lines. The body gives its own
 lines if one is above the threshold, or else its headings. Elements that are
 boilerplate by tag, role, class or id never give lines.
 
+A header or footer element, and what class, id or role marks as one, is never
+text, also within an article; headings count wherever else they stand.
+
 Defined results: null, empty and markup-only pages give an empty text; broken
-markup is read on as far as it goes; repeated rows are extracted each.
+markup is read on, character by character where the library gives up; repeated
+rows are extracted each; pages of any length are read whole; without pages there
+are no rows; input columns named text or n_blocks are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -37,20 +42,37 @@ SCOPES = frozenset("article main section div body td center figure details block
 CONTAINERS = frozenset("article main div body center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE = frozenset("head title nav header footer aside form script style noscript template menu button select option textarea iframe object svg canvas dialog search fieldset label datalist audio video map applet math".split())
+BOILERPLATE = frozenset("head title nav header footer aside form script style noscript template menu button select option textarea iframe object svg canvas dialog search fieldset datalist audio video map applet".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 #: Class and id words that mark what is not the article.
 WORDS = frozenset(
-    "ad ads adbox adblock adslot advert adverts advertisement advertising banner sponsor sponsored sponsors promo promos promotion promoted cookie cookies consent gdpr notice notices "
-    "notification notifications alert popup modal overlay newsletter subscribe subscription signup paywall menu menus nav navbar navigation topnav subnav breadcrumb breadcrumbs sidebar sidebars aside rail "
+    "ad ads adbox adblock adslot adsense advert adverts advertisement advertisements advertising banner banners sponsor sponsored sponsors promo promos promotion promotions promoted cookie cookies consent gdpr notice notices "
+    "notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup paywall menu menus nav navbar navigation topnav subnav breadcrumb breadcrumbs sidebar sidebars aside rail "
     "related recommended recommendations trending share sharing social comment comments commentlist discussion disqus reply replies respond header masthead topbar footer colophon copyright login search "
-    "searchbox toolbar pagination pager widget widgets skip hidden".split()
+    "searchbox searchbar toolbar pagination pager widget widgets skip hidden".split()
+)
+#: Words that say where or how something stands: with one of the words above they still mark what is not the article.
+PLACES = frozenset(
+    "site page global main primary secondary top bottom left right center inner outer upper lower first last sticky fixed floating mobile desktop container wrapper wrap box block bar area region section panel pane "
+    "list item items link links button buttons icon icons form field input text title label body content group row column col cell unit slot frame zone holder wrapper thread reader readers user users post posts article articles "
+    "story stories entry entries content message messages policy privacy legal media in out up to of and the google tag tags module component element inline native small large wide".split()
 )
-SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+SPLIT = re.compile(r"[^a-z0-9]+")
+#: Character references that the library can't turn into a number; like all beyond Unicode they are U+FFFD.
+OVERLONG = re.compile(r"&#[0-9]{4000,};?")
 #: Elements whose own class never makes them boilerplate: themes put flags for the whole page there.
 ROOTS = frozenset(("html", "body", "main", "article"))
 
 
+def marks(value: str) -> bool:
+    """Whether one of the names of a class or id is a word above, or a compound of one with nothing but such words, places and numbers."""
+    for name in value.split():
+        parts = [p for p in SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if p]
+        if not WORDS.isdisjoint(parts) and all(p in WORDS or p in PLACES or p[0].isdigit() for p in parts):
+            return True
+    return False
+
+
 def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     if tag in BOILERPLATE:
         return True
@@ -63,7 +85,7 @@ def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
             return True
-        if name in ("class", "id") and tag not in ROOTS and not WORDS.isdisjoint(w.lower() for w in SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
+        if name in ("class", "id") and tag not in ROOTS and marks(value):
             return True
     return False
 
@@ -99,7 +121,7 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         drop = is_boilerplate(tag, attrs)
-        if tag in BLOCKS or drop:
+        if tag in BLOCKS or drop or self.dropped:  # within what is dropped each tag counts, so that its own end tag is told from theirs
             if tag in ("li", "dd", "dt", "td", "th", "tr", "option") and self.stack and self.stack[-1][0] == tag:
                 self.pop()
             if tag in CONTAINERS:
@@ -147,6 +169,25 @@ class Lines(HTMLParser):
         if not self.dropped:
             self.text.append(data)
 
+    def updatepos(self, i, j):
+        self.seen = j
+        return super().updatepos(i, j)
+
+    def read(self, html: str) -> None:
+        """The whole page: where the library gives up, that character is text and reading goes on behind it."""
+        rest = OVERLONG.sub("\ufffd", html)
+        while rest:
+            self.rawdata, self.seen, fed = "", 0, 0
+            try:
+                self.feed(rest)
+                fed, self.seen = len(rest) - len(self.rawdata), 0
+                self.close()
+                break
+            except (AssertionError, ValueError):
+                self.handle_data(rest[fed + self.seen])
+                rest = rest[fed + self.seen + 1 :]
+        self.flush()
+
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing; at the ends the kernel's weights that lie within are used."""
@@ -179,12 +220,7 @@ def extract_blocks(html: str | None, sigma: float = 1.0, single: float = 0.9) ->
     if not html:
         return []
     parser = Lines()
-    try:
-        parser.feed(html)
-        parser.close()
-    except (AssertionError, ValueError):  # what the parser can't read any further
-        pass
-    parser.flush()
+    parser.read(html)
     lines = parser.lines
     if not lines:
         return []

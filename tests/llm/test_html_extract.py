@@ -65,3 +65,31 @@ def test_unknown_declarations_lose_nothing():
         assert html_extract.extract_blocks(f"a{odd}b<p>c") == ["ab", "c"]
         assert html_extract.extract_text(f"{odd}<article><p>one {odd} two<p>three</article>") == "one two three"
         assert html_extract.extract_text(f"<article><p>one{odd}</article>{odd}<p>x") == "one"
+
+
+def test_inline_adverts_names_and_unreadable_marks():
+    para = "<p>" + "A paragraph of the article that goes on for a while. " * 6 + "</p>"
+    want = " ".join(re.sub("<[^>]*>", " ", para).split())
+    for wrap in (lambda x: f"<article>{x}</article>", lambda x: f"<body><div id='content'>{x}</div></body>"):
+        text = lambda inner: html_extract.extract_text(wrap(para + inner + para))  # noqa: E731, B023
+        for advert in ("<span class='ad'><span>buy</span> now cheap</span>", "<span class='ad-slot'><b>buy <i>it</b> now</span>", "<a class=promo><em>x</em> y</a>", "<div class='post-comments'><p>me too</p></div>", "<ul id=related-articles><li>x</ul>"):
+            assert text(f"<p>Before {advert}after</p>" if advert[1] in "sa" else advert) == (f"{want} Before after {want}" if advert[1] in "sa" else f"{want} {want}")
+        for name in ("search-algorithms", "related-work", "social-science", "header-files", "widgetry", "adverbs", "notice-boards-of-rome"):
+            assert text(f"<div class='{name}'><p>Told of it.</p></div>") == f"{want} Told of it. {want}"
+        assert text("<p>Let <math><mi>x</mi></math> be <label>five</label>.</p>") == f"{want} Let x be five. {want}"
+        assert text("<header><h1>Site</h1></header><h2>Own</h2>") == f"{want} Own {want}"
+        assert text("<p>one &#" + "9" * 5000 + "; two</p>") == f"{want} one \ufffd two {want}"
+
+
+def test_reading_goes_on_where_the_library_gives_up(monkeypatch):
+    from html.parser import HTMLParser
+
+    plain = HTMLParser.parse_starttag
+
+    def fails(self, i):
+        if self.rawdata.startswith("<odd", i):
+            raise AssertionError
+        return plain(self, i)
+
+    monkeypatch.setattr(HTMLParser, "parse_starttag", fails)
+    assert html_extract.extract_text("<article><p>one<odd x>two<p>three <odd></article>") == "one<odd x>two three <odd>"
