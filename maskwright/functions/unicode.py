@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,35 +45,16 @@ def fold_whitespace(text: pd.Series) -> pd.Series:
     return _each(text, lambda t: " ".join(t.casefold().split()))
 
 
+#: What becomes one piece of a layout-normalised text: white space and breaks, an escaped pipe, a character with its combining marks.
+PIECE = regex.compile(r"(?P<gap>(?:[\s\x1c-\x1f]|<br>)+)|\\(?P<pipe>\|)|(?s:.)\P{ccc=0}*")
+
+
 def offsets_of(text: str) -> tuple[str, list[tuple[int, int]]]:
     """The layout-normalised text and the source range of each of its characters; combining marks belong to their base."""
-    units: list[tuple[str, int, int]] = []
-    i = 0
-    while i < len(text):
-        if text.startswith("<br>", i):
-            units.append((" ", i, i + 4))
-            i += 4
-        elif text.startswith(r"\|", i):
-            units.append(("|", i, i + 2))
-            i += 2
-        else:
-            end = i + 1
-            while end < len(text) and unicodedata.combining(text[end]):
-                end += 1
-            units += [(c, i, end) for c in unicodedata.normalize("NFC", text[i:end])]
-            i = end
-    out: list[tuple[str, int, int]] = []
-    for c, s, e in units:
-        if c.isspace():
-            if out and out[-1][0] == " ":
-                out[-1] = (" ", out[-1][1], e)
-            elif out:
-                out.append((" ", s, e))
-        else:
-            out.append((c, s, e))
-    if out and out[-1][0] == " ":
-        out.pop()
-    return "".join(c for c, _, _ in out), [(s, e) for _, s, e in out]
+    made = [(" " if m["gap"] else m["pipe"] or unicodedata.normalize("NFC", m[0]), m.span()) for m in PIECE.finditer(text)]
+    first, last = (made and made[0][0] == " "), (made and made[-1][0] == " ")
+    made = made[bool(first) : len(made) - bool(last)]
+    return "".join(x for x, _ in made), [span for x, span in made for _ in x]
 
 
 @F.udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])), useArrow=True)
@@ -86,30 +71,37 @@ def source_ranges(text: str, value: str):
     return found
 
 
+# What opens and closes fenced code, a heading, and the title of the section that goes.
+FENCE_OPENS = re.compile(r" {0,3}(?:(`{3,})[^`]*|(~{3,}).*)", re.S)
+FENCE_CLOSES = re.compile(r"(?: {1,3}(?:\t[ \t]*)?)?(`+|~+)[ \t]*")
+HEADING = re.compile(r" {0,3}(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*", re.S)
+METADATA = "document metadata"
+
+
+def headings(lines: list[str]) -> list[tuple[int, int, str]]:
+    """(line, level, title) of the headings outside fenced code."""
+    found, mark = [], ""
+    for i, line in enumerate(lines):
+        if mark:
+            closing = FENCE_CLOSES.fullmatch(line)
+            mark = "" if closing and closing[1].startswith(mark) else mark
+        elif opening := FENCE_OPENS.fullmatch(line):
+            mark = opening[1] or opening[2]
+        elif title := HEADING.fullmatch(line):
+            found.append((i, len(title[1]), title[2].strip().casefold()))
+    return found
+
+
 def without_metadata(text: str) -> str:
-    """The text without its document metadata sections; fenced code holds no headings."""
-    import re
-
-    kept, drop_level, fence = [], 0, ""
-    for line in text.splitlines(keepends=True):
-        bare = line.rstrip("\r\n")
-        opening = re.match(r" {0,3}(`{3,}|~{3,})(.*)\Z", bare, re.S)
-        if fence:
-            run = bare.strip(" \t")
-            indent = len(bare) - len(bare.lstrip(" "))
-            if indent <= 3 and not bare.startswith("\t") and len(run) >= len(fence) and set(run) == {fence[0]}:
-                fence = ""
-        elif opening and not (opening[1][0] == "`" and "`" in opening[2]):
-            fence = opening[1]
-        elif title := re.match(r" {0,3}(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*\Z", bare):
-            level = len(title[1])
-            if drop_level and level <= drop_level:
-                drop_level = 0
-            if title[2].strip().casefold() == "document metadata":
-                drop_level = min(drop_level or level, level)
-        if not drop_level:
-            kept.append(line)
-    return "".join(kept)
+    """The text without its document metadata sections, each of which ends where a heading of its level or a higher one stands."""
+    lines = text.splitlines(keepends=True)
+    table = headings([x.rstrip("\r\n") for x in lines])
+    gone = np.zeros(len(lines), bool)
+    for k, (at, level, title) in enumerate(table):
+        if title == METADATA and not gone[at]:
+            end = next((i for i, other, _ in itertools.islice(table, k + 1, None) if other <= level), len(lines))
+            gone[at:end] = True
+    return "".join(x for x, drop in zip(lines, gone, strict=True) if not drop)
 
 
 @F.pandas_udf(T.StringType())

@@ -24,7 +24,7 @@ PERSONAL_ID = (r"(?U)\b\d{6}[-+A]\d{3}[0-9ABCDEFHJKLMNPRSTUVWXY]\b", "PERSONAL_I
 BUSINESS_ID = (r"(?U)(?<![\w-])\d{7}-\d(?![\w-])", "FI_BUSINESS_ID", 0.85)
 VAT = (r"(?iuU)(?<!\w)FI\s?\d{8}(?!\w)", "FI_VAT_NUMBER", 0.85)
 #: Public formats.
-EMAIL = (r"[A-Za-z0-9._%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "EMAIL_ADDRESS", 1.0)
+EMAIL = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "EMAIL_ADDRESS", 1.0)
 IPV4 = (r"\b(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b", "IP_ADDRESS", 0.6)
 CARD = (r"\b\d{4}(?:[ -]?\d{4}){3}\b", "CREDIT_CARD", 0.5)
 IBAN = (r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", "IBAN_CODE", 0.5)
@@ -36,23 +36,26 @@ PROJECT = (PLATE, INVOICE, PERSONAL_ID)
 
 #: Set around matches; a text that holds it itself takes the slower way.
 MARK = "\x01"
+#: Up to so many gaps and matches every offset is summed from the text's start; it gives the same and costs least.
+FEW = 64
 
 
 def match_array(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of the non-empty matches of a pattern.
 
     One pass of the regex engine puts marks around the matches; a split at the
-    marks then gives gap, match, gap, … and lengths give the offsets.
+    marks then gives gap, match, gap, … and sums of their lengths the offsets.
     """
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
-    def each(parts):
-        def one(k):
-            start = total(F.slice(parts, F.lit(1), 2 * k - 1))
-            hit = parts[2 * k - 1]
-            return T.let(start, lambda at: F.struct(at.alias("start"), (at + F.length(hit)).alias("end"), hit.alias("value")))
+    def match(v, at):
+        return F.struct(at.alias("start"), (at + F.length(v)).alias("end"), v.alias("value"))
 
-        return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.floor(F.size(parts) / 2).cast("int")), one)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    def each(parts):
+        before = lambda k: F.aggregate(F.slice(parts, F.lit(1), 2 * k - 1), F.lit(0), lambda s, x: s + F.length(x))
+        few = F.transform(F.sequence(F.lit(1), F.floor(F.size(parts) / 2).cast("int")), lambda k: T.let(before(k), lambda at: match(parts[2 * k - 1], at)))
+        many = F.filter(F.zip_with(parts, T.starts(F.transform(parts, F.length)), match), lambda _, i: i % 2 == 1)
+        return F.when(F.size(parts) <= 1, none).when(F.size(parts) <= FEW, few).otherwise(many)
 
     marked = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -104,15 +107,8 @@ def detect_long(docs: DataFrame, detect: Callable[[DataFrame], DataFrame], limit
 def mask_spans(docs: DataFrame, spans: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the characters of spans blacked out; offsets and line ends stay."""
     ranges = S.merge_touching(spans.select("doc_id", "start", "end")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_s"))
-    t = F.col(text_col)
-    state = F.struct(F.lit(0).alias("p"), F.lit("").alias("o"))
-
-    def step(a, x):
-        hidden = T.mask(t.substr(x["start"] + 1, x["end"] - x["start"]))
-        return F.struct(x["end"].alias("p"), F.concat(a["o"], t.substr(a["p"] + 1, x["start"] - a["p"]), hidden).alias("o"))
-
-    masked = F.aggregate("_s", state, step, lambda a: F.concat(a["o"], t.substr(a["p"] + 1, F.length(t))))
-    return docs.join(ranges, "doc_id", "left").withColumn(text_col, F.when(F.col("_s").isNull(), t).otherwise(masked)).drop("_s")
+    masked = T.replaced(F.col(text_col), F.coalesce("_s", F.array().cast("array<struct<start:int,end:int>>")), lambda piece, _: T.mask(piece))
+    return docs.join(ranges, "doc_id", "left").withColumn(text_col, masked).drop("_s")
 
 
 def final_pass(docs: DataFrame, base: DataFrame, second: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -177,7 +173,9 @@ def run_methods(docs: DataFrame, names: list[str]) -> DataFrame:
     shared = [m for m in chosen if m.patterns]
     if shared:
         every = tuple(dict.fromkeys(p for m in shared for p in m.patterns))
-        by_type = {t: [m.name for m in shared if any(p[1] == t for p in m.patterns)] for _, t, _ in every}
-        owners = F.create_map(*[x for t, own in by_type.items() for x in (F.lit(t), F.array(*map(F.lit, own)))])
-        parts.append(pattern_spans(docs, every).select(F.explode(owners[F.col("entity_type")]).alias("method"), "doc_id", *S.SPAN))
+        # by pattern, not by type: two methods may know one type by different patterns
+        owners = F.array(*(F.array(*(F.lit(m.name) for m in shared if p in m.patterns)) for p in every))
+        numbered = [(p, f"{i} {t}", s) for i, (p, t, s) in enumerate(every)]
+        found = pattern_spans(docs, numbered).withColumn("_k", F.substring_index("entity_type", " ", 1).cast("int")).withColumn("entity_type", F.substring_index("entity_type", " ", -1))
+        parts.append(found.select(F.explode(owners[F.col("_k")]).alias("method"), "doc_id", *S.SPAN))
     return union(*parts)

@@ -12,13 +12,8 @@ from . import spans as S
 def replace_spans(docs: DataFrame, resolved: DataFrame, token: str = "token", text_col: str = "text") -> DataFrame:
     """``docs`` with each resolved span replaced by its token; a document without spans keeps its text."""
     ranges = resolved.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col(token).alias("token")))).alias("_s"))
-    t = F.col(text_col)
-
-    def step(a, x):
-        return F.struct(x["end"].alias("p"), F.concat(a["o"], t.substr(a["p"] + 1, x["start"] - a["p"]), x["token"]).alias("o"))
-
-    done = F.aggregate("_s", F.struct(F.lit(0).alias("p"), F.lit("").alias("o")), step, lambda a: F.concat(a["o"], t.substr(a["p"] + 1, F.length(t))))
-    return docs.join(ranges, "doc_id", "left").withColumn(text_col, F.when(F.col("_s").isNull(), t).otherwise(done)).drop("_s")
+    done = T.replaced(F.col(text_col), F.coalesce("_s", F.array().cast(ranges.schema["_s"].dataType)), lambda _, r: r["token"])
+    return docs.join(ranges, "doc_id", "left").withColumn(text_col, done).drop("_s")
 
 
 def redact(docs: DataFrame, spans: DataFrame, text_col: str = "text") -> DataFrame:

@@ -62,20 +62,36 @@ def _per_place(places: DataFrame, spans: DataFrame, typed, methods: list[str] |
     return p.join(spans.alias("s"), on, "left").groupBy(*keys).agg(hold.alias("held"), touch.alias("touched"))
 
 
-def value_states(labels: DataFrame, docs: DataFrame, spans: DataFrame, mapping: dict | None = TYPE_MAP, methods: list[str] | None = None) -> DataFrame:
+def value_states(labels: DataFrame, docs: DataFrame | None, spans: DataFrame, mapping: dict | None = TYPE_MAP, methods: list[str] | None = None) -> DataFrame:
     """labels(doc_id, label_id, type, value, …) with a state over all occurrences of the value.
 
     Covered: one span of the right type holds each occurrence whole; partial: any is held or touched.
+    Labels may come with their places (``spans.nested_places``); then no text is read here.
+    Only places and spans meet, by document; what they say goes back to the
+    labels as one array a document.
     """
-    places = S.label_places(labels, docs)
-    typed = None if mapping is None else mapped(F.col("s.entity_type"), mapping) == F.col("p.type")
-    met = _per_place(places, spans, typed, methods)
-    keys = [c for c in met.columns if c not in ("start", "end", "held", "touched")]
-    all_held, any_hit, found = F.bool_and("held"), F.bool_or(F.col("held") | F.col("touched")), F.count("start")
-    return met.groupBy(*keys).agg(F.when((found > 0) & all_held, "covered").when(any_hit, "partial").otherwise("").alias("state"), found.alias("occurrences"))
-
-
-def union_states(labels: DataFrame, docs: DataFrame, spans: DataFrame, methods: list[str] | None = None) -> DataFrame:
+    if (methods is None) == ("method" in spans.columns):
+        raise ValueError("name the methods of the spans, and only if they have any")
+    names = methods or [""]
+    kept = [c for c in labels.columns if c not in ("doc_id", "start", "end")]
+    # one row a document: its labels, each with its places
+    each = S.places_of(labels, docs).groupBy("doc_id", "label_id").agg(F.first(F.struct(*kept)).alias("l"), F.array_compact(F.collect_list("start")).alias("at"))
+    placed = each.select("doc_id", "label_id", "l", "at", F.col("l.type").alias("type"), F.length("l.value").alias("size"))
+    places = placed.select("doc_id", "label_id", "type", "size", F.explode("at").alias("start")).withColumn("end", F.col("start") + F.col("size")).alias("p")
+    s = (spans if methods else spans.withColumn("method", F.lit(""))).select("doc_id", "method", "start", "end", "entity_type" if mapping is not None else F.lit(None).cast("string").alias("entity_type")).alias("s")
+    on = (F.col("p.doc_id") == F.col("s.doc_id")) & S.overlaps("p", "s")
+    if mapping is not None:
+        on = on & (mapped(F.col("s.entity_type"), mapping) == F.col("p.type"))
+    hits = places.join(s, on).groupBy("p.doc_id", "p.label_id", "p.start", "s.method").agg(F.bool_or(S.covers("s", "p")).alias("held"))
+    told = hits.groupBy("doc_id", "label_id", "method").agg(F.count_if("held").alias("held"))
+    listed = told.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("label_id", "method").alias("k"), F.col("held").alias("v")))).alias("_t"))
+    wide = placed.join(listed, "doc_id", "left").withColumn("method", F.explode(F.array(*map(F.lit, names))))
+    held, found = F.col("_t")[F.struct("label_id", "method")], F.size("at").cast("long")
+    state = F.when((found > 0) & (held == found), "covered").when(held.isNotNull(), "partial").otherwise("")
+    return wide.select("doc_id", "l.*", *(["method"] if methods else []), state.alias("state"), found.alias("occurrences"))
+
+
+def union_states(labels: DataFrame, docs: DataFrame | None, spans: DataFrame, methods: list[str] | None = None) -> DataFrame:
     """As ``value_states``, against the unions of touching spans of any type."""
     return value_states(labels, docs, S.merge_touching(spans), None, methods)
 
@@ -86,9 +102,9 @@ def mention_states(mentions: DataFrame, spans: DataFrame, accept: dict = ACCEPT,
     return met.withColumn("state", F.when(F.col("held"), "covered").when(F.col("touched"), "partial").otherwise("")).drop("held", "touched")
 
 
-def judge(spans: DataFrame, labels: DataFrame, docs: DataFrame, mapping: dict = TYPE_MAP) -> DataFrame:
+def judge(spans: DataFrame, labels: DataFrame, docs: DataFrame | None, mapping: dict = TYPE_MAP) -> DataFrame:
     """spans with what they overlap: ``correct`` type, ``other`` type, or ``''``."""
-    places = S.label_places(labels, docs).filter("start IS NOT NULL").select("doc_id", "type", "start", "end")
+    places = S.places_of(labels, docs).filter("start IS NOT NULL").select("doc_id", "type", "start", "end")
     keys = [F.col(f"s.{c}").alias(c) for c in spans.columns]
     met = spans.alias("s").join(places.alias("p"), (F.col("p.doc_id") == F.col("s.doc_id")) & S.overlaps("p", "s"), "left")
     right = F.bool_or(mapped(F.col("s.entity_type"), mapping) == F.col("p.type"))
@@ -108,12 +124,12 @@ def verdict(planted, covered, partial):
     )
 
 
-def located_states(labels: DataFrame, docs: DataFrame, regions: DataFrame, spans: DataFrame, mapping: dict = TYPE_MAP) -> DataFrame:
+def located_states(labels: DataFrame, docs: DataFrame | None, regions: DataFrame, spans: DataFrame, mapping: dict = TYPE_MAP) -> DataFrame:
     """labels (with location and expected, the least number of places) against spans, within regions(doc_id, location, start, end).
 
     whole: every expected place was found in the label's own location and one span holds each.
     """
-    places = S.label_places(labels, docs)
+    places = S.places_of(labels, docs)
     kept = places.alias("p").join(regions.select("doc_id", "location", F.col("start").alias("r0"), F.col("end").alias("r1")), ["doc_id", "location"], "left")
     kept = kept.withColumn("_in", F.coalesce((F.col("start") >= F.col("r0")) & (F.col("end") <= F.col("r1")), F.lit(False))).drop("r0", "r1")
     columns = [c for c in kept.columns if c not in ("start", "end", "_in")]

@@ -131,24 +131,56 @@ def coverage(targets: DataFrame, spans: DataFrame, typed: bool = False) -> DataF
     return met.groupBy(*(F.col(f"t.{k}").alias(k) for k in keys), F.col("t.start").alias("start"), F.col("t.end").alias("end")).agg(F.sum(got).alias("covered_chars"))
 
 
+MARK = "\x01"
+
+
 def occurrences(text: Column, value: Column) -> Column:
-    """The starts of a value in a text, overlapping ones included, in one pass of the regex engine.
+    """The starts of a value in a text, overlapping ones included.
 
-    A split at every place where the value follows leaves pieces whose lengths
-    add up to the starts.
+    A value no end of which is also its beginning can't overlap itself: it is
+    replaced by a mark and the text is split there. Any other is found by a
+    split at every place where it follows. Lengths of the pieces add up to the
+    starts.
     """
-    quoted = F.concat(F.lit("(?=\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
     none = F.array().cast("array<int>")
+    n = F.length(value)
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
     first = F.when(F.startswith(text, value), F.array(F.lit(0))).otherwise(none)
 
-    def starts(parts):
-        later = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)))
+    def followed(parts):
+        later = F.slice(T.starts(F.transform(parts, F.length)), F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
         return F.when(F.size(parts) > 1, F.concat(first, later)).otherwise(first)
 
-    return F.when(F.coalesce(F.length(value), F.lit(0)) == 0, none).otherwise(T.let(F.split(text, quoted, -1), starts))
+    def marked(parts):
+        ends = F.transform(F.zip_with(parts, T.starts(F.transform(parts, F.length)), lambda p, at: at + F.length(p)), lambda x, i: x + i * n)
+        return F.when(F.size(parts) > 1, F.slice(ends, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(none)
+
+    overlaps_itself = F.exists(F.sequence(F.lit(1), n - 1), lambda k: value.substr(F.lit(1), k) == value.substr(n - k + 1, k))
+    slow = T.let(F.split(text, quoted, -1), followed)
+    fast = T.let(F.split(F.replace(text, value, F.lit(MARK)), MARK, -1), marked)
+    return F.when((F.coalesce(n, F.lit(0)) == 0) | ~F.contains(text, value), none).when((n > 1) & ~F.contains(text, F.lit(MARK)) & ~F.when(n > 1, overlaps_itself), fast).otherwise(slow)
 
 
 def label_places(labels: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """labels x their occurrences: one row (…, start, end) a place; a label without one has a null place."""
-    joined = labels.join(docs.select("doc_id", text_col), "doc_id")
-    return joined.withColumn("start", F.explode_outer(occurrences(F.col(text_col), F.col("value")))).withColumn("end", F.col("start") + F.length("value")).drop(text_col)
+    """labels x their occurrences: one row (…, start, end) a place; a label without one has a null place.
+
+    A document's labels are gathered first, so its text meets them once. Where
+    labels and text are one row to begin with, ``nested_places`` moves no text.
+    """
+    kept = [c for c in labels.columns if c != "doc_id"]
+    listed = labels.groupBy("doc_id").agg(F.collect_list(F.struct(*kept)).alias("labels"))
+    return nested_places(docs.select("doc_id", text_col).join(listed, "doc_id"), text_col=text_col).select(*labels.columns, "start", "end")
+
+
+def nested_places(docs: DataFrame, labels: str = "labels", text_col: str = "text") -> DataFrame:
+    """As above from documents that hold an array of label structs, each with a value: places are found in the row, and the text stays where it is."""
+    text = F.col(text_col)
+    placed = F.transform(labels, lambda x: F.struct(x.alias("l"), occurrences(text, x["value"]).alias("at")))
+    kept = [c for c in docs.columns if c not in (labels, text_col)]
+    rows = docs.select(*kept, F.explode(placed).alias("_p")).select(*kept, "_p.l.*", F.explode_outer("_p.at").alias("start"))
+    return rows.withColumn("end", F.col("start") + F.length("value"))
+
+
+def places_of(labels: DataFrame, docs: DataFrame | None) -> DataFrame:
+    """Labels with their places: found in ``docs``, or as they are if they have them already."""
+    return labels if "start" in labels.columns else label_places(labels, docs)

@@ -52,7 +52,7 @@ def method_spans(memo: DataFrame) -> DataFrame:
 
 def typed(spark, sf_dir) -> DataFrame:
     memo = M.memos(spark, sf_dir)
-    return Q.value_states(M.labels(memo), memo, method_spans(memo), methods=METHODS)
+    return Q.value_states(M.places(memo), None, method_spans(memo), methods=METHODS)
 
 
 def counts(states: DataFrame, *keys: str) -> DataFrame:
@@ -61,9 +61,10 @@ def counts(states: DataFrame, *keys: str) -> DataFrame:
 
 @query
 def entity_counts(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    found = D.pattern_spans(docs, (D.EMAIL, D.IPV4, D.CARD))
-    return found.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "entity_type").agg(F.count("*").alias("spans"), F.countDistinct("doc_id").alias("documents"))
+    # the language travels with the id, so the texts are read once
+    docs = documents(spark, sf_dir).select(F.struct("doc_id", "lang").alias("doc_id"), "text")
+    found = D.pattern_spans(docs, (D.EMAIL, D.IPV4, D.CARD)).select("doc_id.*", "entity_type")
+    return found.groupBy("lang", "entity_type").agg(F.count("*").alias("spans"), F.countDistinct("doc_id").alias("documents"))
 
 
 def _pii(pattern):
@@ -143,7 +144,7 @@ def typed_recall(spark, sf_dir):
 @query
 def any_type_recall(spark, sf_dir):
     memo = M.memos(spark, sf_dir)
-    return counts(Q.union_states(M.labels(memo), memo, method_spans(memo), METHODS), "method", "type", "language")
+    return counts(Q.union_states(M.places(memo), None, method_spans(memo), METHODS), "method", "type", "language")
 
 
 @query
@@ -182,7 +183,7 @@ def missed_values(spark, sf_dir):
 @query
 def mention_recall(spark, sf_dir):
     memo = M.memos(spark, sf_dir)
-    mentions = S.label_places(M.labels(memo), memo).select("doc_id", "label_id", "type", "start", "end")
+    mentions = M.places(memo).select("doc_id", "label_id", "type", "start", "end")
     states = Q.mention_states(mentions, method_spans(memo), methods=METHODS)
     return G.tally(states, "method", "type").withColumnRenamed("planted", "mentions")
 
@@ -190,26 +191,26 @@ def mention_recall(spark, sf_dir):
 @query
 def typed_precision(spark, sf_dir):
     memo = M.memos(spark, sf_dir)
-    return G.precision(Q.judge(method_spans(memo), M.labels(memo), memo), "method", "entity_type")
+    return G.precision(Q.judge(method_spans(memo), M.places(memo), None), "method", "entity_type")
 
 
 @query
 def unlabelled_detections(spark, sf_dir):
     memo = M.memos(spark, sf_dir)
-    return S.unlabelled(method_spans(memo), S.label_places(M.labels(memo), memo)).groupBy("method", "entity_type").agg(F.count("*").alias("unlabelled"))
+    return S.unlabelled(method_spans(memo), M.places(memo)).groupBy("method", "entity_type").agg(F.count("*").alias("unlabelled"))
 
 
 @query
 def over_masking(spark, sf_dir):
     memo = M.memos(spark, sf_dir)
-    per = S.outside(method_spans(memo), S.label_places(M.labels(memo), memo).filter("start IS NOT NULL"))
+    per = S.outside(method_spans(memo), M.places(memo).filter("start IS NOT NULL"))
     return per.groupBy("method").agg(F.sum("masked_chars").alias("masked_chars"), F.sum("outside_chars").alias("outside_chars"))
 
 
 @query
 def hidden_characters(spark, sf_dir):
     memo = M.memos(spark, sf_dir)
-    items = S.label_places(M.labels(memo), memo).filter("start IS NOT NULL").select("doc_id", "label_id", "type", "start", "end")
+    items = M.places(memo).filter("start IS NOT NULL").select("doc_id", "label_id", "type", "start", "end")
     got = Q.hidden_items(items, D.get_method("rules").run(memo))
     return got.groupBy("type").agg(F.count("*").alias("items"), F.count_if("hidden").alias("hidden"), F.count_if("touched").alias("touched"), F.sum("covered_chars").alias("covered_chars"))
 
@@ -229,7 +230,7 @@ def section_locations(spark, sf_dir):
 @query
 def located_recall(spark, sf_dir):
     memo = M.memos(spark, sf_dir)
-    states = Q.located_states(M.labels(memo).withColumn("expected", F.lit(1)), memo, X.locations(memo), D.get_method("rules").run(memo))
+    states = Q.located_states(M.places(memo).withColumn("expected", F.lit(1)), None, X.locations(memo), D.get_method("rules").run(memo))
     return states.groupBy("location", "type").agg(F.count("*").alias("labels"), F.count_if("whole").alias("whole"), F.count_if("partial").alias("partial"), F.sum("missing").alias("missing"))
 
 
@@ -446,3 +447,11 @@ def clause_bounds(spark, sf_dir):
 @query
 def distinct_lines(spark, sf_dir):
     return M.memos(spark, sf_dir).select("doc_id", F.md5(F.array_join(T.distinct_lines(F.concat_ws(chr(10), "text", "text")), chr(10))).alias("text_md5"))
+
+
+@query
+def context_filter(spark, sf_dir):
+    from ..operators.context import filter_context
+
+    docs, spans = M.context_cases(spark, sf_dir)
+    return long(filter_context(docs, spans))

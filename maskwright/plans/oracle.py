@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..operators.study import VARIANTS
-from .memos import GLOSSARY, LABEL_SQL, MEMO_SQL
+from .memos import CONTEXT_SQL, GLOSSARY, LABEL_SQL, MEMO_SQL
 
-EMAIL = r"[A-Za-z0-9._%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IPV4 = r"\b(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b"
 CARD = r"\b\d{4}(?:[ -]?\d{4}){3}\b"
 DATE = r"\b\d{4}-\d{2}-\d{2}\b"
@@ -187,4 +187,7 @@ FROM (SELECT doc_id, text, substr(text, 1, 150) AS head, strpos(reverse(substr(t
 FROM ({spans('memo', [(DATE, 'DATE_TIME', 0.6), PROJECT[1]])}) JOIN memo USING (doc_id)""",
     "distinct_lines": f"""WITH {MEMO_SQL} SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS text_md5 FROM (
   SELECT doc_id, trim(regexp_replace(a[i], '\\s+', ' ', 'g')) AS line, min(i) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM memo) q, unnest(range(1, len(a) + 1)) AS u(i) GROUP BY doc_id, line) WHERE line <> '' GROUP BY doc_id""",
+    "context_filter": f"""WITH {CONTEXT_SQL}, listed AS (
+  SELECT doc_id, s1 AS s, e1 AS e, t1 AS kind, stays1 AS stays FROM context_doc UNION ALL SELECT doc_id, s2, e2, t2, stays2 FROM context_doc)
+SELECT doc_id, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end", kind AS entity_type, CAST(0.9 AS DOUBLE) AS score FROM listed WHERE stays""",
 }
