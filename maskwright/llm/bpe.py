@@ -10,7 +10,10 @@ each worker keeps the ids of those it has met.
 
 Defined results: a null text counts as empty, with no ids and an empty decoded
 text; special strings in a text become their special token, as the library has
-it by default; repeated rows are encoded each.
+it by default; repeated rows are encoded each; texts of any length are encoded
+whole, in chunks of rows that hold one very long text at least; an empty table
+gives an empty result; input columns named token_ids or decoded_text are
+replaced, others stay.
 """
 
 from __future__ import annotations

@@ -23,8 +23,11 @@ in a join. The bigrams gathered are those of the first units, bounded by their
 number, and for each word exchanged later those with the classes.
 
 Defined results: a null text is empty, it has one token, its end; a document
-without an id is held out; repeated rows are scored each; with nothing to learn
-from every word is unknown.
+without an id is held out; repeated rows are learned from and scored each; texts
+of any length are read whole; of equally frequent words either all are broadcast
+or none, and they stand in byte order; with nothing to learn from every word is
+unknown; an empty table gives an empty result. Input columns named like a result
+column are replaced; others stay but the text.
 """
 
 from __future__ import annotations

@@ -12,7 +12,11 @@ is mixed with a source of no language, which gives every bucket alike.
 Defined results: a null text or one without a letter is ``und`` with score 0
 and fit 0, and so is every text where nothing was learned. A document whose id is null is
 never learned from and counts as held out. Ties go to the language that sorts
-first.
+first. Repeated rows count, and are predicted, each; texts of any length are read
+whole, in chunks of rows that hold one very long text at least; an empty table
+gives an empty result. Input columns named lang_pred, score, lang_mix or lang_fit
+are replaced, others stay. What is gathered and broadcast is BUCKETS numbers a
+language: its bound is the number of distinct lang values times that.
 """
 
 from __future__ import annotations

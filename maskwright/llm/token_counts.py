@@ -12,13 +12,16 @@ which keeps every pre-token that makes up more than 1/table_size of all. The
 table only saves time, results never depend on it.
 
 Defined results: a null text counts as empty, with 0 bytes and 0 tokens;
-repeated rows are counted each.
+repeated rows are counted each; ties in the summaries decide only what is kept
+in the table; texts of any length are counted whole; an empty table gives an
+empty result; input columns named n_bytes or n_tokens are replaced, others stay.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,6 +36,8 @@ from .common import table, without
 PRETOKEN = re.compile(r" *[^ \n]+|\n+| +")
 #: What a piece begins a word with; the library takes it for a space.
 SPACE = "▁"
+#: Pieces that lie within one pre-token: spaces come first or not at all.
+WHOLE = re.compile(f"{SPACE}*[^{SPACE}]*")
 #: Pre-tokens of more characters are encoded each time and not kept.
 LONG = 64
 
@@ -63,7 +68,10 @@ class Lengths(dict):
         import sentencepiece
 
         super().__init__()
-        self.encode = sentencepiece.SentencePieceProcessor(model_file=model).encode
+        library = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.encode = library.encode
+        if not all(WHOLE.fullmatch(library.id_to_piece(i)) for i in range(library.get_piece_size())):
+            raise ValueError("this vocabulary has pieces that cross a space; the cuts are not exact for it")
         # the line feed keeps the dummy space apart; both count as one token
         self.base = len(self.encode("\n"))
         pieces = [self.encode(p) for p in ("\n ", "\na", "\n\n")]
@@ -89,7 +97,7 @@ class Lengths(dict):
         return sum(map(self.__getitem__, pretokens(text))) if text else 0
 
 
-_workers: dict[tuple, Lengths] = {}
+_workers: dict[str, Lengths] = {}
 
 
 def frequent_pretokens(docs: DataFrame, text_col: str = "text", table_size: int = 8192) -> list[str]:
@@ -130,13 +138,13 @@ def count_tokens(docs: DataFrame, model: str | None = None, text_col: str = "tex
     docs = without(docs, "n_bytes", "n_tokens")
     model = model or default_model()
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_pretokens(docs, text_col, table_size))
-    at = docs.columns.index(text_col)
+    at, token = docs.columns.index(text_col), uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = _workers.get((model, frequent.id if hasattr(frequent, "id") else 0))
-        if lengths is None:
+        if token not in _workers:  # a worker keeps the table of one query
             _workers.clear()
-            lengths = _workers[model, 0] = Lengths(model, frequent.value)
+            _workers[token] = Lengths(model, frequent.value)
+        lengths = _workers[token]
         for batch in batches:
             counts = [lengths.count(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], [*batch.schema.names, "n_tokens"])

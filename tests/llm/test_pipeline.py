@@ -36,10 +36,10 @@ def test_run_is_brute_force(spark, sf):
     names, logs = language_id.fit_documents(source)
     want = brute(docs, items, (names, logs.astype("float32")))
     out = corpus_pipeline.run(spark, sf)
-    assert out.columns == [*corpus_pipeline.COLUMNS, "token_ids", "n_tokens"]
+    assert out.columns == [*corpus_pipeline.COLUMNS, "token_ids", "n_tokens", "round_trip"]
     got = out.collect()
     assert {r.doc_id: r.text for r in got} == want and len(got) == len(want) < len(docs)
-    assert all(r.token_ids == tok.encode(r.text, add_special_tokens=False).ids and r.n_chars == len(r.text) for r in got)
+    assert all(r.token_ids == tok.encode(r.text, add_special_tokens=False).ids and r.n_chars == len(r.text) and r.round_trip for r in got)
 
 
 def test_odd_rows_pass_every_stage(spark, odd_docs, sf):
