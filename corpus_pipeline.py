@@ -1,7 +1,16 @@
 """A cleaning pipeline over ``documents`` made of operators of maskwright.llm.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
-kept. Its result is written as Parquet and reread as the next one's docs.
+kept. Its result is written as Parquet and reread as the next one's docs; all
+other tables that a stage writes are deleted, and so is the stage's input.
+
+Defined results: documents whose text is null, empty or without a letter go in
+the first stage; very long texts pass every stage whole; rows that share a doc_id
+are documents of their own for language, copies and encoding, and one document
+for repeated lines; of near copies (ties too) one row of the least doc_id stays;
+a row without an id is never a copy of another; an empty table passes as an empty
+table. Stages return the columns of ``documents`` alone, so extra columns, also
+such as are named like an operator's result, end in the first stage.
 """
 
 from __future__ import annotations
@@ -10,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm import bpe, decontaminate, language_id, line_dedup, ngram_join
-from maskwright.llm.common import table, written
+from maskwright.llm.common import discard, settled, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text of several languages is still clean; one below this has no clear one.
@@ -46,8 +55,10 @@ def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the token ids; it is the last stage, so its columns differ."""
-    return bpe.encode_documents(docs.select(*COLUMNS), decode=False).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    """Adds the token ids, their number and whether they decode to the text; it is the last stage, so its columns differ."""
+    encoded = bpe.encode_documents(docs.select(*COLUMNS))
+    same = F.col("decoded_text") == F.coalesce("text", F.lit(""))
+    return encoded.select(*COLUMNS, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
 
 STAGES = [
@@ -65,5 +76,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(docs)
+        docs = kept
     return docs
