@@ -40,9 +40,15 @@ def hash_sample(df: DataFrame, key: str, per_group: int, *groups: str) -> DataFr
 
 
 def fingerprint(docs: DataFrame, order: str, *columns: str, fanout: int = 1000, levels: int = 3) -> DataFrame:
-    """One row: a digest tree over the columns in the order of an integer key; a node has ``fanout`` children at most."""
-    at = docs.select(F.col(order).alias("_k"), F.sha2(F.concat_ws("\x00", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256).alias("_d"))
+    """One row: a digest tree over the columns in the order of a key, rows of one key in the order of their digests.
+
+    The tree is built on row numbers, so a node has ``fanout`` children at most
+    whatever the keys; the root has as many as the rows have full trees.
+    """
+    digest = F.sha2(F.concat_ws("\x00", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
+    numbered = row_numbers(docs.select(F.col(order).alias("_o"), digest.alias("_d")), ["_o", "_d"], "_n")
+    at = numbered.select((F.col("_n") - 1).alias("_k"), "_d")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_d"))), lambda x: x["_d"]), "")
     for _ in range(levels):
-        at = at.withColumn("_g", F.floor(F.col("_k") / fanout)).groupBy("_g").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_d"))), lambda x: x["_d"]), ""), 256).alias("_d")).withColumnRenamed("_g", "_k")
-    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_d"))), lambda x: x["_d"]), ""), 256)
-    return at.agg(whole.alias("fingerprint"))
+        at = at.groupBy(F.expr(f"_k div {int(fanout)}").alias("_g")).agg(F.sha2(joined, 256).alias("_d")).withColumnRenamed("_g", "_k")
+    return at.agg(F.sha2(joined, 256).alias("fingerprint"))

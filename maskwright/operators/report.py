@@ -152,7 +152,7 @@ def ocr_summary(read: DataFrame, *keys: str) -> DataFrame:
 
 def score_pivot(scored: DataFrame, keys: list[str], scores: tuple[str, ...] = ("correct", "wrong", "refused", "invalid", "unanswered")) -> DataFrame:
     """Counts of each score by the keys, with their total and the correct rate."""
-    out = scored.groupBy(*keys).pivot("score", list(scores)).agg(F.count("*")).na.fill(0, list(scores))
+    out = scored.groupBy(*keys).pivot("score", list(scores)).agg(F.count(F.lit(1))).na.fill(0, list(scores))
     out = out.withColumn("requests", reduce(lambda a, b: a + b, [F.col(s) for s in scores]))
     return out.withColumn("correct_rate", ratio(F.col("correct"), F.col("requests")))
 

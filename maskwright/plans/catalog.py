@@ -305,11 +305,6 @@ def sentence_budget(spark, sf_dir):
     return O.budget(sized, ["doc_id"], F.col("k"), 5000).select("doc_id")
 
 
-@query
-def corpus_fingerprint(spark, sf_dir):
-    return O.fingerprint(documents(spark, sf_dir), "doc_id", "lang", "text")
-
-
 @query
 def ocr_cer(spark, sf_dir):
     read_back = F.replace(F.expr("substring(p_name, 2)"), F.lit("e"), F.lit("c"))

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from maskwright.plans import catalog, oracle
+from maskwright.plans import catalog, oracle, wider
 
 
 @pytest.fixture(scope="module")
@@ -22,15 +22,18 @@ def plain(x):
     return x
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+QUERIES, SQL = catalog.QUERIES | wider.QUERIES, oracle.SQL | wider.SQL
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, duck, name):
-    df = catalog.QUERIES[name](spark, sf)
+    df = QUERIES[name](spark, sf)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=str)
-    if name not in oracle.SQL:
+    if name not in SQL:
         assert got
         return
-    found = duck.execute(oracle.SQL[name])
+    found = duck.execute(SQL[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=str)
