@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import unicode as U8
 from ..operators import context as X
 from ..operators import detect as D
 from ..operators import generate as N
@@ -16,6 +17,7 @@ from ..operators import sections as C
 from ..operators import spans as S
 from ..operators import study as U
 from ..sources import loaders as L
+from ..sources import office as W
 from . import catalog as K
 from . import memos as M
 from . import oracle as A
@@ -229,3 +231,69 @@ LEAVES = "d AS (SELECT row_number() OVER (ORDER BY doc_id, sha256(coalesce(lang,
 @query(f"WITH {LEAVES}, a AS (SELECT k // 1000 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM d GROUP BY 1), b AS (SELECT k // 1000 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM a GROUP BY 1), c AS (SELECT k // 1000 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM b GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY k)) AS fingerprint FROM c")
 def corpus_fingerprint(spark, sf_dir):
     return O.fingerprint(K.documents(spark, sf_dir), "doc_id", "lang", "text")
+
+
+@query(f"{MEMO} SELECT doc_id, md5(replace(text, '## Document metadata' || chr(10) || '- author: ' || author || chr(10) || chr(10), '')) AS text_md5 FROM memo")
+def text_without_metadata(spark, sf_dir):
+    return M.memos(spark, sf_dir).select("doc_id", F.md5(U8.remove_document_metadata("text")).alias("text_md5"))
+
+
+@query("""SELECT CAST(p_partkey AS BIGINT) AS id, trim(regexp_replace(p_name || ' ' || p_type || ' Å|x', '\\s+', ' ', 'g')) AS layout, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS answer, lower(replace(p_name, ' ', '')) || 'å' AS compat FROM part""")
+def normalised_values(spark, sf_dir):
+    k, decomposed = F.col("p_partkey").cast("long").alias("id"), "Å"
+    layout = F.concat(F.lit(" "), "p_name", F.lit("<br>\n"), "p_type", F.lit(f"  {decomposed}\\|x\t"))
+    answer = F.concat(F.lit('"'), F.upper("p_name"), F.lit('."'))
+    rows = K.read(spark, sf_dir, "part").select(k, layout.alias("a"), answer.alias("b"), F.concat(F.upper("p_name"), F.lit(f" Å")).alias("c"))
+    return rows.select("id", U8.normalize_layout("a").alias("layout"), U8.normalize_answer("b").alias("answer"), U8.normalize_compat("c").alias("compat"))
+
+
+@query("""SELECT CAST(p_partkey AS BIGINT) AS id, unnest(CASE WHEN p_partkey % 2 = 0 THEN [p_name, p_brand] ELSE [p_name] END) AS value FROM part""")
+def visible_labels(spark, sf_dir):
+    text = F.when(F.col("p_partkey") % 2 == 0, F.concat_ws(" of ", "p_name", "p_brand")).otherwise(F.col("p_name"))
+    rows = K.read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), text.alias("text"), F.col("p_name").alias("NAME"), F.col("p_name").alias("AGAIN"), F.col("p_brand").alias("BRAND"))
+    return N.visible_labels(rows, ["NAME", "BRAND"]).select("id", "value")
+
+
+def _office_file(kind: str, name: str) -> bytes:
+    """A small file of each format that holds a name."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    if kind in ("txt", "md"):
+        return b"\xef\xbb\xbf" + name.encode()
+    if kind == "csv":
+        return f'a,b\n"{name}|",\n1'.encode()
+    if kind not in ("docx", "xlsx", "pptx"):
+        return b""
+    name, rel = escape(name), "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet, show, word = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"', "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    link = lambda target: f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="{target}" Type="x"/></Relationships>'
+    shape = lambda t, title: f'<p:sp>{"<p:nvSpPr><p:nvPr><p:ph type=\'title\'/></p:nvPr></p:nvSpPr>" if title else ""}<p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp>'
+    parts = {
+        "docx": {"word/document.xml": f'<w:document xmlns:w="{word}"><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>{name}</w:t></w:r></w:p></w:body></w:document>'},
+        "xlsx": {
+            "xl/workbook.xml": f'<workbook xmlns="{sheet}" xmlns:r="{rel}"><sheets><sheet name="One" sheetId="1" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": link("worksheets/sheet1.xml"),
+            "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{sheet}"><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>{name}</t></is></c><c r="B1"><v>5</v></c></row></sheetData></worksheet>',
+        },
+        "pptx": {
+            "ppt/presentation.xml": f'<p:presentation {show} xmlns:r="{rel}"><p:sldIdLst><p:sldId id="256" r:id="r1"/></p:sldIdLst></p:presentation>', "ppt/_rels/presentation.xml.rels": link("slides/slide1.xml"),
+            "ppt/slides/slide1.xml": f"<p:sld {show}><p:cSld><p:spTree>{shape('Head', True)}{shape(name, False)}</p:spTree></p:cSld></p:sld>",
+        },
+    }[kind]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for path, xml in parts.items():
+            z.writestr(path, xml)
+    return out.getvalue()
+
+
+@query("""WITH f AS (SELECT *, list_value('txt', 'md', 'csv', 'docx', 'xlsx', 'pptx', 'pdf', 'zip')[CAST(p_partkey % 8 AS INT) + 1] AS kind FROM part)
+SELECT 'files/' || CAST(p_partkey AS STRING) || '.' || kind AS path, kind AS format, CASE kind WHEN 'txt' THEN p_name WHEN 'md' THEN p_name WHEN 'csv' THEN '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_name || chr(92) || '| |  |' || chr(10) || '| 1 |  |'
+  WHEN 'docx' THEN '## Document content' || chr(10) || chr(10) || '# Head' || chr(10) || chr(10) || p_name WHEN 'xlsx' THEN '## Sheet: One' || chr(10) || chr(10) || '| ' || p_name || ' | 5 |' || chr(10) || '| --- | --- |' WHEN 'pptx' THEN '## Slide 1: Head' || chr(10) || chr(10) || p_name END AS text,
+  CASE WHEN kind IN ('pdf', 'zip') THEN 'UnsupportedFormat' END AS error FROM f""")
+def extracted_files(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ("txt", "md", "csv", "docx", "xlsx", "pptx", "pdf", "zip"))), (F.col("p_partkey") % 8 + 1).cast("int"))
+    content = F.udf(_office_file, "binary")(kind, F.col("p_name"))
+    files = K.read(spark, sf_dir, "part").select(F.concat(F.lit("files/"), F.col("p_partkey").cast("string"), F.lit("."), kind).alias("path"), content.alias("content")).withColumn("length", F.length("content").cast("long"))
+    return W.extract_files(files).select("path", "format", "text", F.substring_index("error", ":", 1).alias("error"))

@@ -258,12 +258,8 @@ def extract(path: str, data: bytes, readers: dict | None = None, language: str =
         return None, f"{type(e).__name__}: {e}"
 
 
-def read_files(spark: SparkSession, path: str, readers: dict | None = None, language: str = "eng") -> DataFrame:
-    """(path, format, length, text, error) of all files under a path.
-
-    Spark lists no empty files: join with a manifest to keep those.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def extract_files(files: DataFrame, readers: dict | None = None, language: str = "eng") -> DataFrame:
+    """(path, format, length, text, error) of files (path, length, content), as ``binaryFile`` reads them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,6 +271,14 @@ def read_files(spark: SparkSession, path: str, readers: dict | None = None, lang
     return files.select("path", "length", "content").mapInArrow(run, "path string, format string, length long, text string, error string")
 
 
+def read_files(spark: SparkSession, path: str, readers: dict | None = None, language: str = "eng") -> DataFrame:
+    """The texts of all files under a path, as ``extract_files`` gives them.
+
+    Spark lists no empty files: join with a manifest to keep those.
+    """
+    return extract_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), readers, language)
+
+
 def require_all(files: DataFrame) -> DataFrame:
     """The files; the query fails on the first that could not be read."""
     return files.filter(F.assert_true(F.col("error").isNull(), F.concat(F.lit("extraction failed: "), "path", F.lit(": "), F.coalesce("error", F.lit("")))).isNull())
