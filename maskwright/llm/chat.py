@@ -46,15 +46,18 @@ FROM one o WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.k < p.n AND p.k =
 """
 
 
-KEY = ["conv_id", "lone"]
+#: A conversation: its id, or for a row without one a 128-bit hash of the row, which is 0 for all others. No part is ever null, so joins and aggregations by it share one exchange.
+KEY = ["id", "lone1", "lone2"]
 
 
 def rolling_hashes(conversations: DataFrame) -> DataFrame:
-    """(conv_id, lone, turn, role, text, k, n, h1, h2): the position, the number of turns and a 128-bit hash of the turns up to this one; lone tells rows without a conversation apart."""
+    """(id, lone1, lone2, turn, role, text, k, n, h1, h2): the position, the number of turns and a 128-bit hash of the turns up to this one."""
     turns = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     ).distinct()
-    turns = turns.withColumn("lone", F.when(F.col("conv_id").isNull(), F.sha2(F.to_json(F.struct("turn", "role", "text")), 256)).otherwise(""))
+    lone = lambda n: F.when(F.col("conv_id").isNull(), F.xxhash64(F.lit(n), "turn", "role", "text")).otherwise(0)
+    none = F.lit(0).cast(conversations.schema["conv_id"].dataType)
+    turns = turns.select(F.coalesce("conv_id", none).alias("id"), lone(1).alias("lone1"), lone(2).alias("lone2"), "turn", "role", "text")
     order = Window.partitionBy(*KEY).orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = turns.withColumn("k", F.row_number().over(order))
@@ -67,25 +70,32 @@ def rolling_hashes(conversations: DataFrame) -> DataFrame:
     )
 
 
+def is_lone():
+    return (F.col("lone1") != 0) | (F.col("lone2") != 0)
+
+
 def maximal_conversations(hashed: DataFrame) -> DataFrame:
-    """(conv_id, lone, n_equal) of the conversations that no other one continues; of equal ones the smallest id, null last."""
-    least = F.min(F.struct(F.col("conv_id").isNull().alias("none"), *KEY)).alias("least")
-    final = hashed.filter(F.col("k") == F.col("n")).groupBy("n", "h1", "h2").agg(least, F.count("*").alias("n_equal"))
+    """(id, lone1, lone2, n_equal) of the conversations that no other one continues; of equal ones the smallest id, rows without one last."""
+    lone = lambda c: F.when(is_lone(), F.col(c))
+    final = hashed.filter(F.col("k") == F.col("n")).groupBy("n", "h1", "h2").agg(
+        F.min(F.when(~is_lone(), F.col("id"))).alias("known"), F.min(lone("lone1")).alias("l1"), F.min_by(lone("lone2"), lone("lone1")).alias("l2"), F.count("*").alias("n_equal")
+    )
     proper = hashed.filter(F.col("k") < F.col("n")).select(F.col("k").cast("long").alias("n"), "h1", "h2").distinct()
-    return final.join(proper, ["n", "h1", "h2"], "left_anti").select("least.conv_id", "least.lone", "n_equal")
+    left, none = final.join(proper, ["n", "h1", "h2"], "left_anti"), F.lit(0).cast(hashed.schema["id"].dataType)
+    part = lambda c: F.when(F.col("known").isNull(), F.col(c)).otherwise(0)
+    return left.select(F.coalesce("known", none).alias("id"), part("l1").alias("lone1"), part("l2").alias("lone2"), "n_equal")
 
 
 def format_chats(conversations: DataFrame, begin: str = "<|im_start|>", end: str = "<|im_end|>") -> DataFrame:
     """One row (conv_id, n_turns, n_equal, chat) for each maximal conversation."""
     hashed = rolling_hashes(conversations)
-    keep = maximal_conversations(hashed).select(F.col("conv_id").alias("_id"), F.col("lone").alias("_lone"), "n_equal")
-    turns = hashed.join(keep, F.col("conv_id").eqNullSafe(F.col("_id")) & (F.col("lone") == F.col("_lone")))
+    turns = hashed.join(maximal_conversations(hashed), KEY)
     line = F.concat(F.lit(begin), F.col("role"), F.lit("\n"), F.col("text"), F.lit(end), F.lit("\n"))
     listed = F.array_sort(F.collect_list(F.struct("k", line.alias("line"))))
     out = turns.groupBy(*KEY).agg(
         F.count("*").alias("n_turns"), F.max("n_equal").alias("n_equal"), F.array_join(F.transform(listed, lambda x: x["line"]), "").alias("chat")
     )
-    return out.drop("lone")
+    return out.select(F.when(~is_lone(), F.col("id")).alias("conv_id"), "n_turns", "n_equal", "chat")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
