@@ -80,3 +80,30 @@ def test_words_beyond_the_first_units_are_clustered(spark):
     assert np.allclose((10**model.transition).sum(1), 1)
     total = lambda m: sum(r.score for r in class_lm.score_documents(texts, m).collect())
     assert total(model) > total(few)
+
+
+def test_scores_are_brute_force(spark, sf):
+    """Given the classes of the words, every probability is made again from the texts in plain Python."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(-1, None), (-2, "Q" * 50_000 + " new words here"), (-3, "")]
+    learn = [t for d, t in docs if d % 3]
+    model = class_lm.train(spark.createDataFrame([(t,) for t in learn], "text string"), frequent=60, suffixes=16, classes=8, least=20, broadcast_words=900)
+    units, end, classes = class_lm.Units(model.frequent, model.suffixes), 8, 9
+    kind = lambda w: int(model.class_of[units.of([w.encode()])[0]])
+    counts, tokens, distinct, pairs = Counter(w for t in learn for w in words(t)), Counter(), Counter(), Counter()
+    for w, n in counts.items():
+        tokens[kind(w)] += n
+        distinct[kind(w)] += 1
+    for t in learn:
+        path = [end, *map(kind, words(t)), end]
+        pairs.update(zip(path, path[1:], strict=False))
+    total, into, out = sum(pairs.values()), Counter(), Counter()
+    for (a, b), n in pairs.items():
+        into[b] += n
+        out[a] += n
+    follows = lambda a, b: (pairs[a, b] + 5.0 * (into[b] + 1) / (total + classes)) / (out[a] + 5.0)
+    got = {r.doc_id: r.score for r in class_lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    for d, t in docs:
+        path = [end, *map(kind, words(t)), end]
+        want = sum(math.log10(follows(a, b)) for a, b in zip(path, path[1:], strict=False))
+        want += sum(math.log10((counts[w] + 1) / (tokens[kind(w)] + distinct[kind(w)] + 1)) for w in words(t))
+        assert math.isclose(got[d], want, rel_tol=1e-9, abs_tol=1e-9), d

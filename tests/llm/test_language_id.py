@@ -1,4 +1,5 @@
 import binascii
+import math
 
 import numpy as np
 
@@ -32,3 +33,62 @@ def test_texts_do_not_depend_on_their_neighbours():
     texts = ["the cat and the dog", "", "le chien   et le chat!", "a", "the"]
     model = (["en", "fr"], np.log(np.random.default_rng(0).dirichlet(np.ones(language_id.BUCKETS), 2).T + 1e-12))
     assert language_id.identify(texts, *model) == [language_id.identify([t], *model)[0] for t in texts]
+
+
+def plain_identify(text, names, logs, penalty=3.0, rounds=6):
+    """The mixture written out trigram by trigram."""
+    low = lambda c: (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " "
+    letters = "".join(map(low, text or ""))
+    padded = " " + " ".join(letters.split(" ")).strip() + " "
+    padded = " " + " ".join(padded.split()) + " "
+    grams = {}
+    for a, b, d in zip(padded, padded[1:], padded[2:], strict=False):
+        if b != " ":
+            h = (((ord(a) * 0x9E3779B1 & 0xFFFFFFFF) ^ ord(b)) * 0x85EBCA77 & 0xFFFFFFFF) ^ ord(d)
+            bucket = (h * 0xC2B2AE3D & 0xFFFFFFFF) >> 16
+            grams[bucket] = grams.get(bucket, 0) + 1
+    if not grams or not names:
+        return "und", 0.0
+    n, rows = sum(grams.values()), [(w, [float(x) for x in logs[g]]) for g, w in grams.items()]
+    kinds = range(len(names))
+
+    def em(shares):
+        for _ in range(rounds):
+            new = [0.0] * len(names)
+            for w, lp in rows:
+                joint = [s * math.exp(x - max(lp)) for s, x in zip(shares, lp, strict=True)]
+                for k in kinds:
+                    new[k] += w * joint[k] / sum(joint)
+            shares = [x / n for x in new]
+        return shares, sum(w * (max(lp) + math.log(sum(s * math.exp(x - max(lp)) for s, x in zip(shares, lp, strict=True)))) for w, lp in rows)
+
+    alone = [sum(w * lp[k] for w, lp in rows) for k in kinds]
+    best = max(kinds, key=lambda k: alone[k])
+    shares, likelihood = [float(k == best) for k in kinds], alone[best]
+    full = em([1 / len(names)] * len(names))[0]
+    for _ in range(len(names) - 1):
+        other = max((k for k in kinds if not shares[k]), key=lambda k: full[k])
+        trial = [full[k] if shares[k] else 0.0 for k in kinds]
+        trial[other] = max(full[other], 1e-3)
+        got, gained = em([x / sum(trial) for x in trial])
+        if gained - likelihood <= penalty * math.log(n + 1):
+            break
+        shares, likelihood = got, gained
+    first, second = sorted(alone, reverse=True)[:2]
+    win = max(kinds, key=lambda k: shares[k])
+    return names[win], min(1.0, shares[win] / (1 + math.exp(-min(50, (first - second) / math.sqrt(n)))))
+
+
+def test_predictions_are_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names, logs = language_id.fit_documents(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    picked = sorted(texts, key=lambda d: len(texts[d] or ""))[:150]
+    mixed = [(-k - 1, (texts[a] or "")[:400] + " " + (texts[b] or "")[:300]) for k, (a, b) in enumerate(zip(sorted(texts)[:30], sorted(texts)[30:60], strict=True))]
+    rows = [(d, texts[d]) for d in picked] + mixed + [(-100, None), (-101, "12 !"), (-102, "x"), (-102, "x"), (-103, "ab " * 40_000)]
+    frame = spark.createDataFrame([(*r, "clash", 0.5) for r in rows], "doc_id long, text string, lang_pred string, score double")
+    out = language_id.identify_language(frame, (names, logs)).collect()
+    assert len(out) == len(rows)
+    for (d, t), r in zip(sorted(rows, key=lambda x: (x[0], str(x[1]))), sorted(out, key=lambda r: (r.doc_id, str(r.text))), strict=True):
+        want = plain_identify(t, names, logs.astype("float32"))
+        assert r.lang_pred == want[0] and abs(r.score - want[1]) < 1e-4, (d, want, r.lang_pred, r.score)
