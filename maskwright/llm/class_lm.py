@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, table, without, written
+from .common import chunks, settled, table, without, written
 
 FLUSH = 300_000
 CHUNK_BYTES = 2 << 20
@@ -373,6 +373,9 @@ def held_out():
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(docs.filter(~held_out()))
-    scored = score_documents(docs, model)
-    return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+    def scored() -> DataFrame:
+        model = train(docs.filter(~held_out()))
+        return score_documents(docs, model).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+    return settled(scored, "lm-scores")
