@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from maskwright.plans import catalog, oracle, wider
+from maskwright.plans import catalog, evaluated, oracle, wider
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +22,7 @@ def plain(x):
     return x
 
 
-QUERIES, SQL = catalog.QUERIES | wider.QUERIES, oracle.SQL | wider.SQL
+QUERIES, SQL = catalog.QUERIES | wider.QUERIES | evaluated.QUERIES, oracle.SQL | wider.SQL | evaluated.SQL
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
