@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,8 @@ from .common import chunks, table, without
 
 CHUNK_BYTES = 2 << 20
 LONG = 64
+#: Fragments given to the library at once: it returns some KB for each, of which only the ids are kept.
+SLICE = 2048
 #: White space beyond ASCII in UTF-8 and control characters that some libraries take for white space.
 ODD = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]|\xc2[\x80-\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\xaf]|\xe2\x81[\x9f-\xaf]|\xe3\x80\x80|\xef\xbb\xbf")
 ASCII_SPACE = np.zeros(256, bool)
@@ -131,8 +134,10 @@ class ForcedBoundaryBPE:
             kept.clear()
             new = list(set(pieces))
         long = [p for p in new if len(p) > LONG]
-        for p, e in zip(new, self.library.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
-            kept[p] = np.array(e.ids, np.int32).tobytes()
+        for a in range(0, len(new), SLICE):
+            part = new[a : a + SLICE]
+            for p, e in zip(part, self.library.encode_batch([p.decode() for p in part], add_special_tokens=False), strict=True):
+                kept[p] = np.array(e.ids, np.int32).tobytes()
         whole = iter([b"".join([kept[p] for p in pieces[i:j]]) for i, j in zip(first, first[1:], strict=False)])
         for p in long:
             del kept[p]
@@ -167,9 +172,9 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, text_col: s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker(path)
         for batch in batches:
-            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            for a, z in chunks([len(t) for t in texts], CHUNK_BYTES):
-                ids = bpe.encode_batch(texts[a:z])
+            raw = batch.column(at).cast(pa.binary())
+            for a, z in chunks(pc.fill_null(pc.binary_length(raw), 0).to_pylist(), CHUNK_BYTES):
+                ids = bpe.encode_batch([t or b"" for t in raw.slice(a, z - a).to_pylist()])
                 offsets = pa.array(np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32))
                 values = pa.array(np.frombuffer(b"".join(ids), np.int32))
                 columns = [pa.ListArray.from_arrays(offsets, values, type=pa.list_(pa.field("element", pa.int32(), False)))]
@@ -177,6 +182,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, text_col: s
                     columns.append(pa.array([bpe.decode(x) for x in ids], pa.binary()).cast(pa.string()))
                 piece = batch.slice(a, z - a)
                 yield pa.RecordBatch.from_arrays([*piece.columns, *columns], [*piece.schema.names, *made])
+            pa.default_memory_pool().release_unused()
 
     kinds = [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded_text", T.StringType())]
     return docs.mapInArrow(encode, T.StructType([*docs.schema.fields, *kinds[: len(made)]]))

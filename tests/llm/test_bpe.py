@@ -41,3 +41,22 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert bpe.encode_documents(no_docs).count() == 0
     again = bpe.encode_documents(out)
     assert again.columns == out.columns
+
+
+def test_fragments_go_to_the_library_in_slices():
+    own, rng, given = bpe.ForcedBoundaryBPE(bpe.default_vocabulary()), random.Random(2), []
+    tok = own.library
+
+    class Spy:
+        def encode_batch(self, texts, **options):
+            given.append(len(texts))
+            return tok.encode_batch(texts, **options)
+
+    own.library = Spy()
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(2000)) for _ in range(5)]
+    got = own.encode_batch([t.encode() for t in texts])
+    assert sum(given) > 5000 and max(given) <= 2048
+    import numpy as np
+
+    for t, g in zip(texts, got, strict=True):
+        assert np.frombuffer(g, np.int32).tolist() == tok.encode(t, add_special_tokens=False).ids
