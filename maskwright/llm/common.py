@@ -100,6 +100,24 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bits of the filter of ``perhaps_in``: 4 MB, however many keys there are.
+FILTER_BITS = 1 << 25
+
+
+def perhaps_in(df: DataFrame, keys: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """``df`` with the boolean ``name``, which is false only where no row of ``keys`` has the row's values of ``columns``.
+
+    One hash of each key is a bit of a broadcast bitmap of fixed size. It spares
+    rows a join that they cannot match; with very many keys it spares fewer.
+    """
+    place = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+    bits = keys.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.col("_bits").substr((F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = df.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "_bucket", "left")
+    return met.withColumn(name, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_bucket", "_bits")
+
+
 LEAST_LONG = -(2**63)
 
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import number_of, ordered_key, settled, table, without, written
+from .common import number_of, ordered_key, perhaps_in, settled, table, without, written
 from .components import connected_components, joined
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -210,7 +210,7 @@ def climb(classes: DataFrame, trees: int, max_depth: int, last: int, threshold:
     stem = F.xxhash64("tree", upto(last)).alias("stem")
     shared = paths.groupBy("tree", stem).agg(F.count("*").alias("n")).filter("n > 1").select("tree", "stem")
     paths = written(paths.withColumn("stem", stem).join(shared, ["tree", "stem"], "left_semi").drop("stem"), "forest")
-    sigs = classes.select("cid", "sig")
+    sigs = written(classes.select("cid", "sig").join(paths.select("cid").distinct(), "cid", "left_semi"), "signatures")
     found: list[DataFrame] = []
     for depth in range(max_depth, last - 1, -1):
         placed = paths.withColumn("node", F.xxhash64("tree", upto(depth)))
@@ -228,7 +228,9 @@ def climb(classes: DataFrame, trees: int, max_depth: int, last: int, threshold:
         # of nodes of the same classes only the first tree's can have candidates
         once = nodes.groupBy("n", "low", "x").agg(F.min(F.struct("tree", "node", "total")).alias("k"))
         size = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("k.total") / block_shingles)).cast("int").alias("blocks")
-        members = placed.select("cid", *NODE).join(once.select("k.tree", "k.node", size), NODE).join(sigs, "cid")
+        places = placed.select("cid", *NODE).join(once.select("k.tree", "k.node", size), NODE)
+        # a class meets its signature once, not once a tree
+        members = places.groupBy("cid").agg(F.collect_list(F.struct(*NODE, "blocks")).alias("places")).join(sigs, "cid").select("cid", "sig", F.inline("places"))
 
         def compare(batches: Iterator[pa.RecordBatch], depth=depth) -> Iterator[pa.RecordBatch]:
             held: list[list] = [[] for _ in range(9)]
@@ -293,12 +295,16 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
 
 def verify(docs: DataFrame, classes: DataFrame, found: DataFrame, trees: int, max_depth: int, least_equal: int, threshold: float, n: int, text_col: str = "text") -> DataFrame:
     """(cid, links, root) from the exact Jaccard similarities of the candidate pairs of ``found``."""
-    members = found.join(classes.select("cid", "rep", "m", "sig"), "cid").select("*", "rep.*").drop("rep")
-    wanted = members.select("doc_id", "h").distinct()
-    # a class is found again by the id and the text of its first row; rows that repeat both serve as well
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text")).join(wanted, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
     key = ["depth", *NODE, "bi", "bj"]
-    dealt = members.join(texts, ["doc_id", "h"]).repartition(*key).sortWithinPartitions(*key)
+    # one row a class, so it meets its signature and its text once, not once for each pair of blocks
+    places = found.groupBy("cid").agg(F.collect_list(F.struct(*key, "own")).alias("places"))
+    members = written(places.join(classes.select("cid", "rep", "m", "sig"), "cid").select("*", "rep.*").drop("rep"), "members")
+    # a class is found again by the id and the text of its first row; rows that repeat both serve as well
+    first = ["doc_id", "h"]
+    wanted = members.select(*first).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    texts = perhaps_in(texts, wanted, first, "perhaps").filter("perhaps").drop("perhaps").join(wanted, first).dropDuplicates(first)
+    dealt = members.join(texts, first).select("cid", "sig", "m", "text", F.inline("places")).repartition(*key).sortWithinPartitions(*key)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, key):

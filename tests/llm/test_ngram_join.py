@@ -124,3 +124,46 @@ def test_parts():
     for size in (1, 2, 3, 8):
         found = [g.num_rows for g in ngram_join.groups(iter(table.to_batches(max_chunksize=size)), ["a", "b"])]
         assert found == [2, 2, 1, 1, 2]
+
+
+def groups_of_copies(spark, many=700, others=1500):
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 999)}" for _ in range(120)]
+    near = [(i, " ".join([*base[: 40 + i % 7], f"x{i}", *base[41 + i % 7 :]])) for i in range(many)]
+    alone = [(1000 + i, " ".join(f"u{rng.randint(0, 10**9)}" for _ in range(30))) for i in range(others)]
+    return spark.createDataFrame([*near, *alone, (None, "w1 w2"), (5000, None)], "doc_id long, text string")
+
+
+def test_classes_meet_signature_and_text_once(spark, monkeypatch):
+    made, passed, real, filtered = {}, [], ngram_join.written, ngram_join.perhaps_in
+
+    def keep(df, name):
+        made[name] = out = real(df, name)
+        return out
+
+    def count(df, keys, columns, name):
+        out = filtered(df, keys, columns, name)
+        passed.append((out.filter(name).count(), keys.count(), out.count()))
+        return out
+
+    docs = groups_of_copies(spark)
+    monkeypatch.setattr(ngram_join, "written", keep)
+    monkeypatch.setattr(ngram_join, "perhaps_in", count)
+    ngram_join.linked_rows(docs, block=64).count()
+    # a node of eleven blocks and 24 trees, but one row a class
+    assert made["members"].count() == made["members"].select("cid").distinct().count() == made["signatures"].count() == 700
+    # only the rows of candidates, and few others, go into the join with their texts
+    assert passed[0][1] == 700 <= passed[0][0] <= 710 and passed[0][2] == docs.count()
+
+
+def test_rows_that_match_pass_the_filter(spark):
+    from maskwright.llm.common import perhaps_in
+
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(50_000)] + [(None, "t"), (1, None)], "a long, b string")
+    keys = df.filter("a % 10 = 3 OR a IS NULL OR b IS NULL")
+    out = perhaps_in(df, keys, ["a", "b"], "met")
+    assert out.columns == ["a", "b", "met"] and out.count() == 50_002
+    assert out.filter("NOT met").join(keys, (out.a.eqNullSafe(keys.a)) & (out.b.eqNullSafe(keys.b)), "left_semi").count() == 0
+    assert 5002 <= out.filter("met").count() <= 5100
+    assert perhaps_in(df, keys.limit(0), ["a", "b"], "met").filter("met").count() == 0
+    assert spark.createDataFrame([], df.schema).transform(perhaps_in, keys, ["a", "b"], "met").count() == 0
