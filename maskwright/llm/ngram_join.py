@@ -369,10 +369,12 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     key = ["_near_id", "_near_h"]
     # rows that repeat id and text stand or go together; of those that stand one is enough
     told = found.groupBy(*key).agg(F.bool_or("kept").alias("_kept"), F.count("*").alias("_rows"))
-    marked = without(docs, *key, "_kept", "_rows").select("*", F.col("doc_id").cast("long").alias("_near_id"), F.xxhash64(F.col(options.get("text_col", "text"))).alias("_near_h"))
-    left = marked.join(told, key, "left").filter("_kept IS NULL OR _kept")
+    marked = without(docs, *key, "_kept", "_rows", "_perhaps", "_bucket", "_bits").select("*", F.col("doc_id").cast("long").alias("_near_id"), F.xxhash64(F.col(options.get("text_col", "text"))).alias("_near_h"))
+    met = perhaps_in(marked, told, key, "_perhaps")
+    alone = met.filter("NOT _perhaps").drop("_perhaps", *key)
+    left = met.filter("_perhaps").drop("_perhaps").join(told, key, "left").filter("_kept IS NULL OR _kept")
     once = left.filter("_rows > 1").dropDuplicates(key)
-    return left.filter("_rows IS NULL OR _rows = 1").unionByName(once).drop(*key, "_kept", "_rows")
+    return left.filter("_rows IS NULL OR _rows = 1").unionByName(once).drop(*key, "_kept", "_rows").unionByName(alone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

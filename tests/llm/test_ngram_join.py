@@ -167,3 +167,21 @@ def test_rows_that_match_pass_the_filter(spark):
     assert 5002 <= out.filter("met").count() <= 5100
     assert perhaps_in(df, keys.limit(0), ["a", "b"], "met").filter("met").count() == 0
     assert spark.createDataFrame([], df.schema).transform(perhaps_in, keys, ["a", "b"], "met").count() == 0
+
+
+def test_only_groups_are_joined_when_copies_go(spark, monkeypatch):
+    passed, filtered = [], ngram_join.perhaps_in
+
+    def count(df, keys, columns, name):
+        out = filtered(df, keys, columns, name)
+        if name == "_perhaps":
+            passed.append(out.filter(name).count())
+        return out
+
+    docs = groups_of_copies(spark, 50, 100)
+    monkeypatch.setattr(ngram_join, "perhaps_in", count)
+    kept = ngram_join.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    left = [r.doc_id for r in kept.collect()]
+    assert sorted(left, key=str) == sorted([0, None, 5000, *range(1000, 1100)], key=str)
+    assert 50 <= passed[0] <= 55
