@@ -88,10 +88,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows a task makes texts of.
+ROWS = 20_000
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The rows of a Parquet table dealt by a key, ``ROWS`` a task or less where there are more cores.
+
+    More rows make more tasks, not larger ones, and what is grouped, ordered or
+    joined by the key later on moves no row again. The count reads footers only.
+    """
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS))
+    return df.repartition(n, key)
+
+
 def memos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, language, format, split, the planted values, text), one memo an order."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(K, C, "o_orderdate")
-    return spread(orders).select(F.col(K).alias("doc_id"), *(F.expr(e).alias(n) for n, e in FIELDS.items())).withColumn("text", F.expr(TEXT))
+    return dealt(orders, K).select(F.col(K).alias("doc_id"), *(F.expr(e).alias(n) for n, e in FIELDS.items())).withColumn("text", F.expr(TEXT))
 
 
 def listed_labels():
@@ -120,7 +134,7 @@ context_doc AS (SELECT o_orderkey AS doc_id, x.a || x.p || x.z || ' ## ' || chr(
 
 def context_cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(documents, spans) of the context cases."""
-    spark.read.parquet(f"{sf_dir}/orders.parquet").select(K, C).createOrReplaceTempView("_context_orders")
+    dealt(spark.read.parquet(f"{sf_dir}/orders.parquet").select(K, C), K).createOrReplaceTempView("_context_orders")
     made = spark.sql(f"WITH {CONTEXT_SQL.replace('FROM orders', 'FROM _context_orders')} SELECT * FROM context_doc")
     one = lambda n: F.struct(F.col(f"s{n}").cast("int").alias("start"), F.col(f"e{n}").cast("int").alias("end"), F.col(f"t{n}").alias("entity_type"), F.lit(0.9).alias("score"))
     return made.select("doc_id", "text"), made.select("doc_id", F.explode(F.array(one(1), one(2))).alias("s")).select("doc_id", "s.*")

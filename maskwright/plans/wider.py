@@ -295,5 +295,5 @@ SELECT 'files/' || CAST(p_partkey AS STRING) || '.' || kind AS path, kind AS for
 def extracted_files(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, ("txt", "md", "csv", "docx", "xlsx", "pptx", "pdf", "zip"))), (F.col("p_partkey") % 8 + 1).cast("int"))
     content = F.udf(_office_file, "binary")(kind, F.col("p_name"))
-    files = K.read(spark, sf_dir, "part").select(F.concat(F.lit("files/"), F.col("p_partkey").cast("string"), F.lit("."), kind).alias("path"), content.alias("content")).withColumn("length", F.length("content").cast("long"))
+    files = M.dealt(K.read(spark, sf_dir, "part"), "p_partkey").select(F.concat(F.lit("files/"), F.col("p_partkey").cast("string"), F.lit("."), kind).alias("path"), content.alias("content")).withColumn("length", F.length("content").cast("long"))
     return W.extract_files(files).select("path", "format", "text", F.substring_index("error", ":", 1).alias("error"))
