@@ -13,7 +13,7 @@ def replace_spans(docs: DataFrame, resolved: DataFrame, token: str = "token", te
     """``docs`` with each resolved span replaced by its token; a document without spans keeps its text."""
     ranges = resolved.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col(token).alias("token")))).alias("_s"))
     done = T.replaced(F.col(text_col), F.coalesce("_s", F.array().cast(ranges.schema["_s"].dataType)), lambda _, r: r["token"])
-    return docs.join(ranges, "doc_id", "left").withColumn(text_col, done).drop("_s")
+    return docs.join(ranges.hint("merge"), "doc_id", "left").withColumn(text_col, done).drop("_s")
 
 
 def redact(docs: DataFrame, spans: DataFrame, text_col: str = "text") -> DataFrame:
@@ -28,7 +28,7 @@ def aliases(docs: DataFrame, spans: DataFrame, scope: str = "document", text_col
     The corpus scope ranks distinct values, not their occurrences: each value
     is one row before anything is ordered.
     """
-    resolved = S.resolve(spans).join(docs.select("doc_id", text_col), "doc_id")
+    resolved = S.resolve(spans).join(docs.select("doc_id", text_col).hint("merge"), "doc_id")
     valued = resolved.withColumn("value", F.col(text_col).substr(F.col("start") + 1, F.col("end") - F.col("start"))).drop(text_col)
     if scope == "document":
         first = F.min("start").over(Window.partitionBy("doc_id", "entity_type", "value"))
@@ -72,7 +72,7 @@ def replace_values(docs: DataFrame, values: DataFrame, text_col: str = "text") -
     order = F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("l"), "value", F.concat(F.lit("["), "entity_type", F.lit("]")).alias("t"))))
     listed = values.groupBy("doc_id").agg(order.alias("_v"))
     done = F.aggregate("_v", F.col(text_col), lambda a, x: F.replace(a, x["value"], x["t"]))
-    return docs.join(listed, "doc_id", "left").withColumn(text_col, F.when(F.col("_v").isNull(), F.col(text_col)).otherwise(done)).drop("_v")
+    return docs.join(listed.hint("merge"), "doc_id", "left").withColumn(text_col, F.when(F.col("_v").isNull(), F.col(text_col)).otherwise(done)).drop("_v")
 
 
 def layout(words: DataFrame) -> DataFrame:

@@ -45,5 +45,5 @@ def split_sections(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def text_by_location(docs: DataFrame, regions: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, location, text): the regions of each location in order."""
-    cut = regions.join(docs.select("doc_id", text_col), "doc_id").withColumn("part", F.col(text_col).substr((F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
+    cut = regions.join(docs.select("doc_id", text_col).hint("merge"), "doc_id").withColumn("part", F.col(text_col).substr((F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
     return cut.groupBy("doc_id", "location").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"]), "\n").alias("text"))
